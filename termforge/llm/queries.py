@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, passages, sentencepiece, simhash, suffix_dedup, token_counts
+from . import langid, passages, sentencepiece, simhash, substring_index, suffix_dedup, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODEL = os.environ.get("TERMFORGE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -34,13 +34,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(documents(spark, sf_dir), MODEL)
 
 
+def op6_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_index.repeats(documents(spark, sf_dir))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_language_id, op4_sentencepiece, op8_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_language_id, op4_sentencepiece, op6_substring_index, op8_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_suffix_array_dedup": passages.ORACLE_SQL}
+    return {"op6_substring_index": passages.ORACLE_SQL, "op8_suffix_array_dedup": passages.ORACLE_SQL}
