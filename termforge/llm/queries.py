@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, passages, sentencepiece, simhash, substring_index, suffix_dedup, token_counts
+from . import cover_tree, langid, ngram, packing, passages, sentencepiece, simhash, substring_index, suffix_dedup, token_counts, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODEL = os.environ.get("TERMFORGE_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -34,17 +34,45 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(documents(spark, sf_dir), MODEL)
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op6_substring_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.repeats(documents(spark, sf_dir))
 
 
+def op7_ngram_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), documents(spark, sf_dir))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeats(documents(spark, sf_dir))
 
 
+def op9_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+_COSINE = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))"
+_VECTORS = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+OP9_SQL = f"""{_VECTORS}, p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round({_COSINE}, 10) AS s FROM e a JOIN e b ON a.vec_id < b.vec_id)
+SELECT vec_a, vec_b, round(s, 6) AS similarity FROM p WHERE s >= 0.95"""
+
+OP10_SQL = f"""{_VECTORS}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, round({_COSINE}, 10) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbour_id) AS k FROM p)
+SELECT query_id, CAST(k AS INTEGER) AS rank, neighbour_id, round(s, 6) AS similarity FROM r WHERE k <= 10"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash_near_duplicates, op3_language_id, op4_sentencepiece, op6_substring_index, op8_suffix_array_dedup)}
+    ops = (op1_token_counts, op2_simhash_near_duplicates, op3_language_id, op4_sentencepiece, op5_packing, op6_substring_index, op7_ngram_scoring, op8_suffix_array_dedup, op9_embedding_near_duplicates, op10_exact_top_k)
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_index": passages.ORACLE_SQL, "op8_suffix_array_dedup": passages.ORACLE_SQL}
+    return {"op6_substring_index": passages.ORACLE_SQL, "op8_suffix_array_dedup": passages.ORACLE_SQL, "op9_embedding_near_duplicates": OP9_SQL, "op10_exact_top_k": OP10_SQL}
