@@ -33,10 +33,12 @@ from .components import components
 from .kernels import Powers, alnum_table, chunks, mix, utf8, window_hashes, word_hashes, word_spans
 
 BITS = 128
-DISTANCE = 22
+DISTANCE = 26
 RECALL = 0.97
 STRIP = 32
 SEED = 20240613
+FEATURE = np.uint64(40)
+FEATURE_MASK = np.uint64((1 << 40) - 1)
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,12 +59,11 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         last = np.zeros(len(words), bool)
         last[first[1:][counts > 0] - 1] = True
         keep = ~last | (np.repeat(counts, counts) == 1)
-        width = np.uint64(max(1, int(len(counts) - 1).bit_length()))
-        rest = np.uint64(64) - width
-        key, times = np.unique((doc[keep] << rest) | (pair[keep] >> width), return_counts=True)
-        feature = mix(key & ((np.uint64(1) << rest) - np.uint64(1)))
+        # As many bits for the row whatever the slice, so that a text's features don't depend on its neighbours.
+        key, times = np.unique((doc[keep] << FEATURE) | (pair[keep] & FEATURE_MASK), return_counts=True)
+        feature = mix(key & FEATURE_MASK)
         weight = np.sqrt(times).astype(np.float32)
-        cut = np.searchsorted(key >> rest, np.arange(len(counts) + 1, dtype=np.uint64))
+        cut = np.searchsorted(key >> FEATURE, np.arange(len(counts) + 1, dtype=np.uint64))
         sums = np.zeros((len(counts), BITS), np.float32)
         for half in range(2):
             bits = np.unpackbits((feature if half == 0 else mix(feature + np.uint64(0x9E3779B97F4A7C15))).view(np.uint8).reshape(-1, 8), axis=1)
