@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import patterns as P
 from .patterns import Profile, java
@@ -30,7 +31,7 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, java(r"\s+"), " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())  # a type by name would need a session at import
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 

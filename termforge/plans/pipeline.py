@@ -10,6 +10,7 @@ from ..functions.patterns import Profile, java
 from ..operators import layout, ranges, segment
 from ..operators.dedup import dedupe
 from ..operators.inline import inline_entries
+from ..sources.shared import stored
 
 SCHEMA_VERSION, EXTRACTOR_VERSION = "1", "1.0.0"
 MIN_BOLD_RATE = 0.10
@@ -28,8 +29,8 @@ def glossary(pages: DataFrame, spans: DataFrame, where: DataFrame, profile: Prof
         firsts = where.where("narrowing_fired").select("doc_id", F.col("parse_start").alias("first_page"))
         own = layout.clip_above(own, java(profile.section_two, "im"), firsts)
     info = pages.select(F.col("doc_id").alias("d"), F.col("page_idx").alias("p"), "height", "label")
-    lines = layout.lines_of(own).join(info, (F.col("doc_id") == F.col("d")) & (F.col("page_idx") == F.col("p"))).drop("d", "p")
-    entries = segment.glossary_entries(lines, profile, unicode_form=unicode_form)
+    lines = stored(layout.lines_of(own).join(info, (F.col("doc_id") == F.col("d")) & (F.col("page_idx") == F.col("p"))).drop("d", "p"), "lines")
+    entries = stored(segment.glossary_entries(lines, profile, unicode_form=unicode_form), "entries")
     none = where.select("doc_id", F.lit(False).alias("fallback"))
     if not profile.bold_gate:
         return entries, none
@@ -44,9 +45,10 @@ def glossary(pages: DataFrame, spans: DataFrame, where: DataFrame, profile: Prof
 
 def extract(pages: DataFrame, spans: DataFrame, profile: Profile, unicode_form: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(all entries before dedup, text layers, sectioned ranges, fallbacks). Documents without a text layer yield nothing."""
+    pages, spans = stored(pages, "pages"), stored(spans, "spans")
     layers = ranges.text_layers(pages)
     readable = pages.join(layers.where("text_layer_present").select("doc_id"), "doc_id", "left_semi")
-    where = ranges.sections(readable, ranges.glossary_ranges(readable, profile), profile)
+    where = stored(ranges.sections(readable, stored(ranges.glossary_ranges(readable, profile), "ranges"), profile), "sections")
     found, fallback = glossary(readable, spans, where, profile, unicode_form)
     return found.unionByName(inline_entries(readable, profile, unicode_form)), layers, where, fallback
 
@@ -57,6 +59,7 @@ def payloads(docs: DataFrame, pages: DataFrame, spans: DataFrame, profile: Profi
     deterministic leaves out the one field that depends on the time.
     """
     every, layers, where, fallback = extract(pages, spans, profile)
+    every = stored(every, "found")
     counts = every.groupBy("doc_id").agg(F.count_if(F.col("source_type") == "glossary").alias("n_glossary"), F.count_if(F.col("source_type") == "inline").alias("n_inline"))
     entry = F.struct("ord", *ENTRY)
     best = dedupe(every).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(*(e[n].alias(n) for n in ENTRY))).alias("entries"))

@@ -181,15 +181,15 @@ el AS (SELECT CAST(page_id AS VARCHAR) AS doc_id, regexp_extract_all(html, {duck
 sp AS (SELECT doc_id, unnest(range(len(k))) AS n, unnest(k) AS k, unnest(t) AS t FROM el),
 sq AS (SELECT doc_id, n, n // 30 AS page_idx, lower(k) AS k, {duck.strip(duck.squeeze('t'))} AS text FROM sp),
 spans AS (SELECT *, CASE k WHEN 'nav' THEN 100.0 WHEN 'footer' THEN 720.0 ELSE 200.0 + 14 * (n % 30) END AS y, CASE k WHEN 'li' THEN 112.0 WHEN 'b' THEN 82.0 ELSE 72.0 END AS x, k IN ('h1', 'title', 'b') AS bold FROM sq WHERE text <> ''),
-ln AS (SELECT doc_id, page_idx, y, string_agg(text, ' ' ORDER BY x, n) AS full, arg_min(x, x * 1e6 + n) AS x, arg_min(bold, x * 1e6 + n) AS bold, arg_min(text, x * 1e6 + n) AS head, count(*) AS spans FROM spans GROUP BY doc_id, page_idx, y)"""
+ln AS (SELECT doc_id, page_idx, y, string_agg(text, ' ' ORDER BY x, n) AS line_text, arg_min(x, x * 1e6 + n) AS x, arg_min(bold, x * 1e6 + n) AS bold, arg_min(text, x * 1e6 + n) AS head, count(*) AS spans FROM spans GROUP BY doc_id, page_idx, y)"""
 
 
-@query("WITH " + _SPANS_SQL.lstrip() + " SELECT doc_id, CAST(page_idx AS INTEGER) AS page_idx, CAST(y AS DOUBLE) AS y, full, CAST(x AS DOUBLE) AS x0, bold, CAST(spans AS INTEGER) AS n_spans FROM ln")
+@query("WITH " + _SPANS_SQL.lstrip() + " SELECT doc_id, CAST(page_idx AS INTEGER) AS page_idx, CAST(y AS DOUBLE) AS y, line_text, CAST(x AS DOUBLE) AS x0, bold, CAST(spans AS INTEGER) AS n_spans FROM ln")
 def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of web pages as physical lines."""
     lines = layout.lines_of(readers.html_spans(table(spark, sf_dir, "pages")))
     first = F.element_at("spans", 1)
-    return lines.select("doc_id", "page_idx", "y", F.array_join(F.transform("spans", lambda s: s["text"]), " ").alias("full"), first["x0"].alias("x0"), first["bold"].alias("bold"), F.size("spans").alias("n_spans"))
+    return lines.select("doc_id", "page_idx", "y", F.array_join(F.transform("spans", lambda s: s["text"]), " ").alias("line_text"), first["x0"].alias("x0"), first["bold"].alias("bold"), F.size("spans").alias("n_spans"))
 
 
 def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +198,7 @@ def _page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + _SPANS_SQL.lstrip() + f""",
-z AS (SELECT *, {duck.meets('full', P.any_of(SYNTHETIC.document_headers), 'i')} AS hd, {duck.meets('full', SYNTHETIC.footer_match(), 'i')} AS ft, {duck.meets('full', SYNTHETIC.invalid_match(), 'i')} AS bad FROM ln)
+z AS (SELECT *, {duck.meets('line_text', P.any_of(SYNTHETIC.document_headers), 'i')} AS hd, {duck.meets('line_text', SYNTHETIC.footer_match(), 'i')} AS ft, {duck.meets('line_text', SYNTHETIC.invalid_match(), 'i')} AS bad FROM ln)
 SELECT coalesce(CASE WHEN y < 150 AND hd THEN 'header' WHEN y > 792 * 0.88 AND (ft OR hd) THEN 'footer' WHEN bad THEN 'invalid' END, 'kept') AS fate, CAST(count(*) AS BIGINT) AS n FROM z GROUP BY 1""")
 def zone_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that go for their place on the page or their shape."""
@@ -206,9 +206,9 @@ def zone_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("WITH " + _SPANS_SQL.lstrip() + f""",
-z AS (SELECT *, {duck.meets('full', P.any_of(ARMY.document_headers), 'i')} AS hd, {duck.meets('full', ARMY.footer_match(), 'i')} AS ft FROM ln WHERE NOT {duck.meets('full', ARMY.invalid_match(), 'i')}),
-v AS (SELECT *, min(x) OVER (PARTITION BY doc_id, page_idx) AS mx, regexp_extract(full, '^\\s*(\\S+)', 1) AS w FROM z WHERE NOT (y < 150 AND hd) AND NOT (y > 792 * 0.88 AND (ft OR hd))),
-a AS (SELECT *, length(full) <= 60 AND regexp_matches(w, '^[A-Z][A-Z0-9.\\-]{{1,14}}$') AND (regexp_matches(w, '[A-Z]\\.[A-Z]') OR NOT contains(substr(full, 1, 30), '.')) AS acr FROM v)
+z AS (SELECT *, {duck.meets('line_text', P.any_of(ARMY.document_headers), 'i')} AS hd, {duck.meets('line_text', ARMY.footer_match(), 'i')} AS ft FROM ln WHERE NOT {duck.meets('line_text', ARMY.invalid_match(), 'i')}),
+v AS (SELECT *, min(x) OVER (PARTITION BY doc_id, page_idx) AS mx, regexp_extract(line_text, '^\\s*(\\S+)', 1) AS w FROM z WHERE NOT (y < 150 AND hd) AND NOT (y > 792 * 0.88 AND (ft OR hd))),
+a AS (SELECT *, length(line_text) <= 60 AND regexp_matches(w, '^[A-Z][A-Z0-9.\\-]{{1,14}}$') AND (regexp_matches(w, '[A-Z]\\.[A-Z]') OR NOT contains(substr(line_text, 1, 30), '.')) AS acr FROM v)
 SELECT doc_id, CAST(count(*) FILTER (WHERE (x < mx + 30 AND (bold OR acr)) OR (x < mx + 80 AND acr)) AS BIGINT) AS gated, CAST(count(*) FILTER (WHERE x < mx + 30) AS BIGINT) AS legacy, CAST(count(*) AS BIGINT) AS valid FROM a GROUP BY doc_id""")
 def spatial_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New-term lines by place and type, and by place alone."""
