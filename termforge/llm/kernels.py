@@ -7,13 +7,15 @@ of words in constant time, and no Python object is made per word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _BYTE_BASE, _WORD_BASE, _WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 ASCII_SPACE = b" \t\n\r\x0b\x0c"
 
@@ -179,3 +181,23 @@ def flat(column: pa.ChunkedArray) -> np.ndarray:
     """All values of a list column without nulls."""
     parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
     return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def release() -> None:
+    """Hands freed memory back to the system: Spark keeps Python workers between tasks, with what their allocators hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library than glibc
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases memory when its task ends."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped

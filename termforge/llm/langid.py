@@ -26,6 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernels import chunks, tidy
+
 ROWS = 128
 DICT_BYTES = 1 << 18
 LEVEL = 3
@@ -64,9 +66,14 @@ class Decider:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(index of the language or -1, margin) of each text."""
         best, margins = np.full(len(texts), -1), np.zeros(len(texts))
-        if not self.langs:
-            return best, margins
-        plain = folded(texts.fill_null(""))
+        if self.langs:
+            for row, part in chunks(texts):
+                best[row : row + len(part)], margins[row : row + len(part)] = self._part(part)
+        return best, margins
+
+    def _part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        best, margins = np.full(len(texts), -1), np.zeros(len(texts))
+        plain = folded(texts)
         rows = np.flatnonzero(pc.binary_length(plain).to_numpy(zero_copy_only=False))
         sizes = np.zeros((len(rows), len(self.langs)))
         for i, r in enumerate(rows):
@@ -97,7 +104,7 @@ def identify(docs: DataFrame, models: dict[str, bytes], id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), names.take(pa.array(best % len(names))), pa.array(margins)], names=["doc_id", "predicted_lang", "margin"])
 
     rows = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, predicted_lang string, margin double")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, predicted_lang string, margin double")
 
 
 def keep_identified(docs: DataFrame, models: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:
@@ -110,4 +117,4 @@ def keep_identified(docs: DataFrame, models: dict[str, bytes], text_col: str = "
         for b in batches:
             yield b.filter(pa.array(decide(b.column(at))[0] >= 0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

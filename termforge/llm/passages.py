@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ids
-from .kernels import Powers, anchors, chunks, sliding, space_table, utf8, window_hashes, window_valid, word_hashes, word_spans
+from .kernels import Powers, anchors, chunks, sliding, space_table, tidy, utf8, window_hashes, window_valid, word_hashes, word_spans
 
 WORDS = 50
 GRAM = 12
@@ -55,7 +55,7 @@ def anchor_table(rows: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataF
                 of = np.searchsorted(w.first, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(doc_ids[row + of]), pa.array((at - w.first[of]).astype(np.int32))], names=["hash", "doc_id", "pos"])
 
-    return rows.mapInArrow(run, "hash bigint, doc_id bigint, pos int")
+    return rows.mapInArrow(tidy(run), "hash bigint, doc_id bigint, pos int")
 
 
 def candidate_windows(w: Words, positions: list[np.ndarray], words: int, gram: int, power: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

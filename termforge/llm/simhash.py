@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Blocks, ids, keyed, partitions, small, written
 from .components import components
-from .kernels import Powers, alnum_table, chunks, mix, utf8, window_hashes, word_hashes, word_spans
+from .kernels import Powers, alnum_table, chunks, mix, tidy, utf8, window_hashes, word_hashes, word_spans
 
 BITS = 128
 DISTANCE = 26
@@ -83,7 +83,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             high, low, has = fingerprints(b.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(x[has]) for x in (ids(b), high.view(np.int64), low.view(np.int64))], names=["doc_id", "high", "low"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, high bigint, low bigint")
+    return keyed(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id bigint, high bigint, low bigint")
 
 
 def _joint(strip: int, bound: int, apart: int) -> float:
@@ -203,7 +203,7 @@ def close_pairs(nodes: DataFrame, distance: int = DISTANCE, recall: float = RECA
 
     buckets = max(partitions(nodes.sparkSession), math.ceil(n * how.lists / 100_000))
     kinds = ", ".join(f"{k} array<bigint>" for k in ("list", "node", "high", "low"))
-    return nodes.mapInArrow(send, f"bucket int, {kinds}").groupBy("bucket").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return nodes.mapInArrow(tidy(send), f"bucket int, {kinds}").groupBy("bucket").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, recall: float = RECALL) -> DataFrame:

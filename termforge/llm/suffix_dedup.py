@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, ids, keyed, partitions, small, written
-from .kernels import Powers, chunks, mix, ragged, space_table, window_hashes
+from .kernels import Powers, chunks, mix, ragged, release, space_table, tidy, window_hashes
 from .passages import GRAM, RUNS, WORDS, anchor_table, by_document, candidate_windows, cut, positions_of, repeated, repeated_runs, runs_table, spans, words_of
 
 TRIGGER = 4
@@ -126,7 +126,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     shared = small(written(repeated(found), "repeated"))
     wanted = written(by_document(found.join(shared, "hash", "left_semi")), "positions")
     n_anchors = wanted.agg(F.sum(F.size("positions"))).first()[0] or 0
-    buckets = max(partitions(spark), math.ceil(n_anchors * 70 / 1_500_000))
+    buckets = max(partitions(spark), math.ceil(n_anchors * 70 / 750_000))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power, table = Powers(), space_table()
@@ -154,9 +154,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         sizes = count + words - 1
         places = ragged(np.cumsum(sizes) - sizes, count)
         key = equal_windows(dense(symbols), sizes, places, words)
-        return runs_table(*repeated_runs(key, np.repeat(doc, count), ragged(start.astype(np.int64), count)))
+        runs = runs_table(*repeated_runs(key, np.repeat(doc, count), ragged(start.astype(np.int64), count)))
+        release()
+        return runs
 
-    blocks = rows.join(small(wanted), "doc_id").mapInArrow(send, "bucket int, docs array<bigint>, starts array<int>, counts array<int>, symbols array<bigint>")
+    blocks = rows.join(small(wanted), "doc_id").mapInArrow(tidy(send), "bucket int, docs array<bigint>, starts array<int>, counts array<int>, symbols array<bigint>")
     return spans(blocks.groupBy("bucket").applyInArrow(search, RUNS), words)
 
 
@@ -184,4 +186,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keep = pa.array([bool(t.strip()) for t in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([b.schema.field(i) for i in range(n - 2)])).filter(keep)
 
-    return untouched.union(touched.mapInArrow(shorten, docs.schema))
+    return untouched.union(touched.mapInArrow(tidy(shorten), docs.schema))
