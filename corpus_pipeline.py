@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termforge.llm import langid, packing, simhash, suffix_dedup
-from termforge.llm.common import fresh, small, written
+from termforge.llm.common import fresh, row_keyed, small, written
 
 # Compression, fingerprints and packing patterns are not expressible in SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
@@ -22,10 +22,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; documents without an id stay."""
-    key = fresh(docs, "gone_doc")
-    gone = small(written(simhash.near_duplicates(docs).select(F.col("doc_id").alias(key)), "gone"))
-    return docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
+    """One document of each group of near-duplicates; different texts under one id are documents each; those without an id stay."""
+    row, key = fresh(docs, "gone_row"), fresh(docs, "gone_doc")
+    marked = row_keyed(docs, row, "doc_id", "text")
+    gone = small(written(simhash.near_duplicates(marked, row).select(F.col("doc_id").alias(key)), "gone"))
+    return marked.join(gone, F.col(row) == F.col(key), "left_anti").drop(row)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

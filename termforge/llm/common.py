@@ -70,6 +70,22 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
 
 
+def row_keyed(docs: DataFrame, key: str, id_col: str, text_col: str) -> DataFrame:
+    """docs with one more column that tells different texts under one id apart, in the order of ids; equal rows share it.
+
+    Where no id has two texts it is the id itself; rows without an id have none.
+    """
+    own, text = fresh(docs, "key_id"), fresh(docs, "key_text")
+    marked = docs.withColumns({own: F.col(f"`{id_col}`").cast("bigint"), text: F.xxhash64(F.col(f"`{text_col}`"))})
+    known = marked.where(F.col(own).isNotNull())
+    if known.groupBy(own).agg(F.min(text).alias("low"), F.max(text).alias("high")).where("low < high").isEmpty():
+        return docs.withColumn(key, F.col(f"`{id_col}`").cast("bigint"))
+    numbers = known.select(own, text).distinct().orderBy(own, text).rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
+    table = small(written(docs.sparkSession.createDataFrame(numbers, f"k_id bigint, k_text bigint, `{key}` bigint"), "row_keys"))
+    of = table.withColumnsRenamed({"k_id": own + "_of", "k_text": text + "_of"})
+    return marked.join(of, (F.col(own) == F.col(own + "_of")) & (F.col(text) == F.col(text + "_of")), "left").select(*(f"`{c}`" for c in docs.columns), f"`{key}`")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     taken = {c.lower() for c in df.columns}
     while name.lower() in taken:

@@ -12,7 +12,8 @@
 
 Defined cases: null and empty texts, and those of under WORDS words, have no passage; texts are read whole; of equal
 documents the one with the least id keeps its text; rows that repeat a doc_id don't repeat each other; rows without an
-id are left out of the report and pass `remove_repeats` unchanged; an empty table gives an empty result; only the named
+id are left out of the report (`remove_repeats` takes different texts under one id as documents of their own, in the order
+of a hash) and pass `remove_repeats` unchanged; an empty table gives an empty result; only the named
 columns are read, and the others pass `remove_repeats` untouched, whatever their names.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, ids, keyed, partitions, small, written
+from .common import fresh, ids, keyed, partitions, row_keyed, small, written
 from .kernels import Powers, chunks, mix, ragged, release, space_table, tidy, window_hashes
 from .passages import GRAM, RUNS, WORDS, anchor_table, by_document, candidate_windows, cut, positions_of, repeated, repeated_runs, runs_table, spans, words_of
 
@@ -167,11 +168,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     length_col, if docs have it, gets the new number of characters. Documents without such a passage stay as they are.
     """
-    found = repeats(docs, id_col, text_col, words)
-    key, starts, ends = (fresh(docs, k) for k in ("span_doc", "span_starts", "span_ends"))
+    row, key, starts, ends = (fresh(docs, k) for k in ("span_row", "span_doc", "span_starts", "span_ends"))
+    marked = row_keyed(docs, row, id_col, text_col)
+    found = repeats(marked, row, text_col, words)
     lists = small(written(found.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("start_word").alias(starts), F.collect_list("end_word").alias(ends)), "spans"))
-    same = F.col(f"`{id_col}`").cast("bigint") == F.col(key)
-    untouched, touched = docs.join(lists, same, "left_anti"), docs.join(lists, same).drop(key)
+    same = F.col(row) == F.col(key)
+    untouched, touched = marked.join(lists, same, "left_anti").drop(row), marked.join(lists, same).drop(row, key)
     at = docs.columns.index(text_col)
     length = docs.columns.index(length_col) if length_col in docs.columns else None
 
