@@ -1,16 +1,19 @@
 """Exact top-k search by tiled matrix products.
 
-Vectors are cut by a hash of their id into blocks of queries and groups of shards; every block meets every group, tile by
-tile. A product of two tiles gives all similarities of their vectors; of each row
-only those that reach its k-th best are kept (partial selection, with all ties), and a query's lists are merged pair by
-pair, first within the task and then, in a second step, over the groups.
+Queries are the rows whose id is divisible by EVERY, and are searched for among all rows. Queries are cut by a hash of
+their id into blocks and all vectors into groups, both of about TILE_BYTES in double precision; every block meets every
+group, tile by tile. So a vector is sent as often as there are blocks of queries, and a query as often as there are
+groups. A product of two tiles gives all similarities of their vectors; of each row only those that reach its k-th best
+are kept (partial selection, with all ties), and a query's lists are merged pair by pair, first within the task and then,
+in a second step, over the groups.
 
 Similarity is the cosine in double precision, rounded to DIGITS digits for ranking, so that equal vectors tie; ties go to
-the lesser id. Every row is a query against all other rows, with itself left out.
+the lesser id. A query itself is left out of its list.
 
 Defined cases: null or empty vectors, those with a null, NaN or infinite number, and zero vectors have no direction and take
 no part; vectors of another length than the query's are no neighbours of it; rows that repeat an id are one vector
-(the least); with fewer than k others a query has as many rows as there are; an empty table gives an empty result.
+(the least); rows without an id are left out; with fewer than k others a query has as many rows as there are; an empty
+table, or one without a query, gives an empty result; only the id and vector columns are read.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import partitions, written
 
 K = 10
+EVERY = 20
 DIGITS = 10
 TILE = 2048
+TILE_BYTES = 64 << 20
 
 
 def vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -78,17 +83,18 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, s_ids: np.ndarray, s: np.ndarray,
     return merge((row, score[row, col], s_ids[col]), (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)), k)
 
 
-def search(rows: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = TILE) -> DataFrame:
-    """(query_id, rank, neighbour_id, similarity) of the k nearest of every vector."""
+def search(rows: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """(query_id, rank, neighbour_id, similarity) of the k nearest of every vector whose id is divisible by `every`."""
     spark = rows.sparkSession
     own = written(vectors(rows, id_col, vector_col), "vectors")
-    n = own.count()
-    tiles = max(1, math.ceil(n / tile))
-    # Groups of shard tiles: enough tasks for the cluster, few lists to merge for each query.
-    blocks = max(1, math.ceil(n / (4 * tile)))
-    groups = max(blocks, math.ceil(min(tiles, 2 * partitions(spark) / blocks)))
+    asked = F.pmod(F.col("id"), F.lit(every)) == 0
+    n, n_queries, wide = own.agg(F.count("*"), F.count_if(asked), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    block = max(1, tile_bytes // (8 * wide))
+    blocks = max(1, math.ceil(n_queries / block))
+    # Enough groups for the cluster's tasks, but none of less than a tile.
+    groups = max(1, math.ceil(n / block), min(math.ceil(n / tile), math.ceil(2 * partitions(spark) / blocks)))
     sized = own.withColumn("dim", F.size("v"))
-    queries = sized.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    queries = sized.where(asked).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     shards = sized.withColumn("group", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(groups)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     shards = shards.select(F.col("block").alias("at"), F.col("dim").alias("size"), F.col("group").alias("part"), F.col("id").alias("s_id"), F.col("v").alias("s_v"))
 
@@ -114,5 +120,5 @@ def search(rows: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str
         rank = np.arange(len(row)) - np.searchsorted(row, row, "left") + 1
         return pa.table({"query_id": row, "rank": rank.astype(np.int32), "neighbour_id": other, "similarity": np.round(score, 6) + 0.0})
 
-    part = met.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(tiles, partitions(spark)))).cast("int"))
+    part = met.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(math.ceil(n_queries / tile), partitions(spark)))).cast("int"))
     return part.groupBy("part").applyInArrow(last, "query_id bigint, rank int, neighbour_id bigint, similarity double")

@@ -233,10 +233,8 @@ def test_top_k(vectors):
     u = v / np.linalg.norm(v, axis=1)[:, None]
     s = np.round(u @ u.T, 10)
     np.fill_diagonal(s, -9)
-    want = {i: sorted(range(len(v)), key=lambda j: (-s[i, j], j))[:5] for i in range(len(v))}
-    for tile in (2048, 32):
-        got = {}
-        for r in sorted(topk.search(rows, 5, tile=tile).collect(), key=lambda r: (r["query_id"], r["rank"])):
-            got.setdefault(r["query_id"], []).append(r["neighbour_id"])
-        assert {k: x for k, x in got.items() if k < 300} == want and set(got) - set(want) <= {305}
-    assert topk.search(rows.limit(0)).count() == 0
+    for every, tile, tile_bytes in ((20, 2048, 64 << 20), (20, 32, 512), (1, 32, 4096), (1000, 32, 4096)):
+        want = {(i, k + 1): (j, s[i, j]) for i in range(0, len(v), every) for k, j in enumerate(sorted(range(len(v)), key=lambda j: (-s[i, j], j))[:5])}
+        got = {(r["query_id"], r["rank"]): (r["neighbour_id"], pytest.approx(r["similarity"], abs=1e-6)) for r in topk.search(rows, 5, every=every, tile=tile, tile_bytes=tile_bytes).collect()}
+        assert got == want
+    assert topk.search(rows.limit(0)).count() == topk.search(rows.where("vec_id = 1")).count() == topk.search(rows.where("vec_id = 20")).count() == 0
