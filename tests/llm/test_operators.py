@@ -217,15 +217,51 @@ def vectors(spark):
     return v.astype(np.float64), spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, pivot string, cell string")
 
 
-def test_near_pairs(vectors):
+def classes_of(near):
+    """(class, links) of each row of a matrix of links, by following them."""
+    root = list(range(len(near)))
+    while True:
+        new = [min(root[j] for j in [i, *np.flatnonzero(near[i])]) for i in range(len(near))]
+        if new == root:
+            return {i: (r, int(near[i].sum())) for i, r in enumerate(root)}
+        root = new
+
+
+@pytest.mark.parametrize("cell", [None, 40])
+def test_near_classes(vectors, cell):
     v, rows = vectors
     u = v / np.linalg.norm(v, axis=1)[:, None]
-    s = np.round(u @ u.T, 10)
-    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(s >= 0.9, 1)))}
-    for cell in (4096, 40):
-        got = [(r["vec_a"], r["vec_b"]) for r in cover_tree.near_pairs(rows, 0.9, cell=cell).collect()]
-        assert len(got) == len(set(got)) and set(got) == want and len(want) >= 13
-    assert cover_tree.near_pairs(rows.limit(0)).count() == 0
+    for threshold in (0.9, 0.5):
+        near = np.round(u @ u.T, 10) >= threshold
+        np.fill_diagonal(near, False)
+        got = {r["vec_id"]: (r["class_id"], r["n_links"]) for r in cover_tree.near_classes(rows, threshold, cell=cell).collect()}
+        assert got == classes_of(near) | {305: (305, 0)}
+        # Equal vectors are one node of the pairs.
+        least = [min(j for j in range(len(v)) if (v[j] == v[i]).all()) for i in range(len(v))]
+        want = {(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1))) if least[i] == i and least[j] == j}
+        pairs = [(r["vec_a"], r["vec_b"]) for r in cover_tree.near_pairs(rows, threshold, cell=cell).collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) >= 10
+    assert cover_tree.near_classes(rows.limit(0)).count() == cover_tree.near_pairs(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("dim", [2, 8, 64])
+def test_cover_tree_holds_its_bounds_and_finds_all_links(dim):
+    rng = np.random.default_rng(dim)
+    v = rng.normal(size=(700, dim))
+    v[:300] = v[300] + rng.normal(size=(300, dim)) * rng.random((300, 1)) * 0.1  # a dense cluster, a hot pivot
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    times, ids = rng.integers(1, 4, 700), np.arange(700)
+    tree = cover_tree.build(ids, times, v)
+    assert sorted(tree.ids.tolist()) == ids.tolist()
+    for s, e, r in zip(tree.start, tree.end, tree.radius):
+        assert cover_tree.distances(tree.v[s : s + 1], tree.v[s:e]).max() <= r + cover_tree.SLACK
+    for threshold in (0.98, 0.7, -0.2, 1.0):
+        near = np.round(v @ v.T, 10) >= threshold
+        found = cover_tree.Links(tree, tree, True, threshold, False).run()
+        assert dict(zip(tree.ids.tolist(), np.cumsum(found.left[:-1]).tolist())) == dict(enumerate((near * times).sum(1).tolist()))
+        one, two = cover_tree.build(ids[:350], times[:350], v[:350]), cover_tree.build(ids[350:], times[350:], v[350:])
+        pairs = cover_tree.pairs_of(cover_tree.Links(one, two, False, threshold, True).run())
+        assert sorted(zip(pairs["a"].to_pylist(), pairs["b"].to_pylist())) == [(i, j + 350) for i, j in zip(*np.nonzero(near[:350, 350:]))]
 
 
 def test_top_k(vectors):
