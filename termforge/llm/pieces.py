@@ -9,11 +9,21 @@ prefix alone.
 
 Text is cut into pre-tokens before each space that follows another character; no piece may hold such a place, which is
 checked when the file is read. Runs of spaces merge after everything else, and are looked up by length.
+
+A pre-token of over LONG characters (text without spaces) is cut into windows that overlap and advance together. The state
+after a prefix depends on those of the `longest` prefixes before it, so where two windows agree on as many in a row, the
+later one goes on as the whole text would. Where any two don't agree, which a text of few characters over and over can
+bring about, the pre-token is segmented by a loop over its characters.
+
+Ties of a unigram model go to the longer last piece, as in the library. Scores are summed from the start of each pre-token,
+and what differs by under 1e-4 is a tie. The library sums in single precision from the start of the text, so where its
+rounding parts two segmentations of one score, it may take the other one: as many pieces' scores, in another order.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -27,7 +37,9 @@ SPLIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _BASE = U64(0x9E3779B97F4A7C15)
-_LOST = -np.inf
+_LOST = np.float32(-np.inf)
+_TIE = np.float32(1e-4)
+LONG = 384
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int, object]]:
@@ -107,6 +119,8 @@ class Model:
             elif number == 2:
                 spec = {n: v for n, _, v in _fields(value)}
                 self.kind, self.byte_fallback = spec.get(3, UNIGRAM), bool(spec.get(35, 0))
+                if spec.get(24):
+                    raise ValueError("spaces after a word are not supported")
             elif number == 3:
                 spec = {n: v for n, _, v in _fields(value)}
                 self.prefix = bool(spec.get(3, 1))
@@ -114,7 +128,7 @@ class Model:
                     raise ValueError("only the identity normaliser is supported, with spaces kept and escaped")
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models are supported")
-        self.kinds, self.scores = np.array(kinds), np.array(scores, np.float64)
+        self.kinds, self.scores = np.array(kinds), np.array(scores, np.float32)
         if (self.kinds == USER).any():
             raise ValueError("user-defined pieces are not supported")
         self.unknown = kinds.index(UNKNOWN)
@@ -128,6 +142,8 @@ class Model:
         if any(t.startswith(SPACE * 2) and t not in runs for t in (self.texts[i] for i in normal)):
             raise ValueError("a piece holds several spaces and another character")
         index = {self.texts[i]: i for i in normal}
+        if SPACE not in index and not self.byte_fallback:
+            raise ValueError("the space has no piece")
         self.space_runs = {t: i for t, i in index.items() if t in runs}
         self.run_scores = runs
         # Order of merging: characters first, then merged pieces from the best score on.
@@ -141,7 +157,7 @@ class Model:
             self.order[[i for i in use if len(self.texts[i]) == 1]] = 0
             for n, i in enumerate(merged):
                 self.order[i] = n + 1
-            rank = {self.texts[i]: self.order[i] for i in merged}
+            rank = self.rank = {self.texts[i]: int(self.order[i]) for i in merged}
             reached = []
             for i in use:
                 got, last = merge_order(list(self.texts[i]), rank)
@@ -157,6 +173,7 @@ class Model:
         else:
             self.usable = np.zeros(len(kinds), bool)
             self.usable[use] = True
+        self.index = {self.texts[i]: int(i) for i in use}
         points = [np.array([ord(c) for c in self.texts[i]], U64) for i in use]
         self.longest = max((len(p) for p in points), default=1)
         hashes = np.array([_poly(p) for p in points], U64)
@@ -169,7 +186,7 @@ class Model:
         self.chars = np.array([len(t) for t in self.texts])
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.keys * _BASE) >> U64(44)] = True
-        self.floor = float(self.scores[normal].min()) - 10.0
+        self.floor = np.float32(self.scores[normal].min()) - np.float32(10)
         self.power = np.cumprod(np.concatenate([[U64(1)], np.full(self.longest * 2, _BASE, U64)]))
 
     def find(self, keys: np.ndarray, usable: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +277,8 @@ class Forward:
         alone = np.zeros(len(rows), bool)
         whole = len(rows) == len(points)
         to = hashes[:, depth] if whole else hashes[rows, depth]
-        for n in range(1, min(depth, m.longest) + 1):
+        # The longest first, so that among values that are equal up to rounding it stays.
+        for n in range(min(depth, m.longest), 0, -1):
             at, ids = m.find(to - (hashes[:, depth - n] if whole else hashes[rows, depth - n]) * m.power[n])
             if n == 1:
                 alone[at] = True
@@ -269,22 +287,80 @@ class Forward:
             before = rows[at]
             if m.kind == BPE:
                 good = self.stable(last[before, depth - n], ids) if depth > n else np.ones(len(at), bool)
-                value = np.where(good, 0.0, _LOST)
+                value = np.where(good, np.float32(0), _LOST)
             else:
                 value = score[before, depth - n] + m.scores[ids]
-            better = value > best[at]
+            better = value > best[at] + _TIE
             best[at[better]], piece[at[better]], length[at[better]] = value[better], ids[better], n
         lone = np.flatnonzero(~alone)
         if len(lone):
             # A character without a piece stands alone, at the unknown score, unless a longer piece holds it.
-            value = np.zeros(len(lone)) if m.kind == BPE else score[rows[lone], depth - 1] + m.floor
-            better = value > best[lone]
+            value = np.zeros(len(lone), np.float32) if m.kind == BPE else score[rows[lone], depth - 1] + m.floor
+            better = value > best[lone] + _TIE
             best[lone[better]], piece[lone[better]], length[lone[better]] = value[better], -2, 1
         return best, piece, length
 
+    def run(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score, last piece, its length) of every prefix of every row; column 0 is the empty prefix."""
+        hashes, (n, wide) = prefix_hashes(points), points.shape
+        score, last, back = np.zeros((n, wide + 1), np.float32, "F"), np.full((n, wide + 1), -2, np.int32, "F"), np.ones((n, wide + 1), np.int32, "F")
+        every = np.arange(n)
+        for d in range(1, wide + 1):
+            score[:, d], last[:, d], back[:, d] = self.step(points, hashes, every, d, score, last)
+        return score, last, back
+
+    def long(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces, their last characters) of one long pre-token, in order."""
+        m, n = self.m, len(points)
+        over = 3 * m.longest
+        step = max(over, math.isqrt(n))
+        begin = np.arange(0, max(1, n - over), step)
+        text = np.concatenate([points, np.zeros(step + over, points.dtype)])
+        score, last, back = self.run(text[begin[:, None] + np.arange(step + over)])
+        # The prefixes that a window shares with the one before, as far as both have come furthest.
+        one, two = slice(step + over - m.longest + 1, step + over + 1), slice(over - m.longest + 1, over + 1)
+        agree = (last[:-1, one] == last[1:, two]).all() and (back[:-1, one] == back[1:, two]).all()
+        if m.kind == UNIGRAM:
+            # Sums from another place on, so differences are equal up to rounding; nearer calls than that are left to the loop.
+            apart = score[:-1, one].astype(np.float64) - score[1:, two]
+            agree = agree and bool((np.ptp(apart, axis=1) < 0.01).all()) if len(begin) > 1 else agree
+        if not agree:
+            return self.slow(points)
+        pieces, lengths = (np.concatenate([x[0, : over + 1], x[:, over + 1 :].ravel()])[: n + 1] for x in (last, back))
+        out, at = [], n
+        steps = lengths.tolist()
+        while at:
+            out.append(at)
+            at -= steps[at]
+        ends = np.array(out[::-1])
+        return pieces[ends], points[ends - 1]
+
+    def slow(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, text = self.m, points.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        if m.kind == BPE:
+            found = merge_order(list(text), m.rank)[0]
+        else:
+            score, back = [np.float32(0)], [0]
+            for d in range(1, len(text) + 1):
+                best, length = _LOST, 1
+                for n in range(min(d, m.longest), 0, -1):
+                    i = m.index.get(text[d - n : d])
+                    value = score[d - n] + (m.scores[i] if i is not None else m.floor) if i is not None or n == 1 else _LOST
+                    if value > best + _TIE:
+                        best, length = value, n
+                score.append(best)
+                back.append(length)
+            found, at = [], len(text)
+            while at:
+                found.append(text[at - back[at] : at])
+                at -= back[at]
+            found.reverse()
+        return np.array([m.index.get(t, -2) for t in found], np.int32), points[np.cumsum([len(t) for t in found]) - 1]
+
 
 def prefix_hashes(points: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(points), points.shape[1] + 1), U64)
+    # Column by column, as they are read.
+    out = np.zeros((len(points), points.shape[1] + 1), U64, "F")
     for d in range(points.shape[1]):
         out[:, d + 1] = out[:, d] * _BASE + (points[:, d].astype(U64) + U64(1))
     return out

@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi pass.
 
-Distinct pre-tokens of equal length advance together, a character at a time. Prefix hashes give the hash of every
+Distinct pre-tokens of equal length (beyond SHORT characters: of about equal length) advance together, a character at a
+time; those of over LONG characters by overlapping windows. Prefix hashes give the hash of every
 substring that ends there; these probe the sorted hashes of the pieces, and the best of the candidates (vectorised
 maxima) and its length are stored as backpointers. See `pieces` for what is maximised in unigram and in BPE models: the
-ids are the sentencepiece library's own for the model file. Characters without a piece become byte pieces.
+ids are the sentencepiece library's own for the model file. Characters without a piece become byte pieces, or, where the
+model has none, a run of them one unknown id.
 
 Defined cases: a null text has null ids and a null decoded text; an empty one has no ids; texts are encoded whole, however
 long; repeated rows get equal rows; an empty table gives an empty result. Only the id and text columns are read.
-Decoding leaves control pieces out, drops the dummy space in front, and replaces what is no UTF-8 with U+FFFD.
+Decoding leaves control pieces out, drops the dummy space in front, and replaces what is no UTF-8 with U+FFFD; a null
+among the ids is left out, and an id outside the model raises an error.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import chunks, list_array, ragged
-from .pieces import BPE, BYTE, CONTROL, SPACE, Forward, Model, code_points, prefix_hashes, pretokens, utf8_lengths
+from .pieces import BPE, BYTE, CONTROL, LONG, SPACE, Forward, Model, code_points, pretokens, utf8_lengths
 
 CELLS = 1 << 20
+SHORT = 32
 KEPT_WORDS = 400_000
+KEPT_IDS = 4_000_000
 
 
 def utf8_bytes(points: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -45,21 +50,18 @@ def encode_words(words: list[str], forward: Forward) -> tuple[np.ndarray, np.nda
     all_lengths = np.array([len(w) for w in words], np.int64)
     counts = np.zeros(len(words), np.int64)
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for length in np.unique(all_lengths):
-        same = np.flatnonzero(all_lengths == length)
-        if not length:
-            continue
+    # Short words with those of their length, others with those of about it, long ones each by itself.
+    group = np.where(all_lengths <= SHORT, all_lengths, 1 << np.ceil(np.log2(np.maximum(all_lengths, 1))).astype(np.int64))
+    group = np.where((group > SHORT) & (all_lengths <= group * 3 // 4), group * 3 // 4, group)
+    for length in np.unique(group[(all_lengths > 0) & (all_lengths <= LONG)]):
+        same = np.flatnonzero((group == length) & (all_lengths <= LONG))
         step = max(1, CELLS // (int(length) + 1))
         for s in range(0, len(same), step):
             rows = same[s : s + step]
             points, _ = code_points([words[i] for i in rows])
-            hashes, n, wide = prefix_hashes(points), len(rows), int(length) + 1
-            score, last, back = np.zeros((n, wide)), np.full((n, wide), -2, np.int32), np.ones((n, wide), np.int32)
-            every = np.arange(n)
-            for d in range(1, wide):
-                score[:, d], last[:, d], back[:, d] = forward.step(points, hashes, every, d, score, last)
-            at, taken, row, piece, char = np.full(n, wide - 1), [], [], [], []
-            open_ = every
+            _, last, back = forward.run(points)
+            at, taken, row, piece, char = all_lengths[rows].copy(), [], [], [], []
+            open_ = np.arange(len(rows))
             while len(open_):
                 row.append(open_)
                 piece.append(last[open_, at[open_]])
@@ -68,16 +70,13 @@ def encode_words(words: list[str], forward: Forward) -> tuple[np.ndarray, np.nda
                 open_ = open_[at[open_] > 0]
             row, piece, char = (np.concatenate(x)[::-1] for x in (row, piece, char))
             order = np.argsort(row, kind="stable")
-            row, piece, char = row[order], piece[order], char[order]
-            lone = piece == -2
-            times = np.where(lone & m.byte_fallback, utf8_lengths(char), 1)
-            ids = np.repeat(np.where(lone, m.unknown, piece), times).astype(np.int32)
-            if lone.any() and m.byte_fallback:
-                raw = utf8_bytes(char[lone], times[lone])
-                ids[ragged((np.cumsum(times) - times)[lone], times[lone])] = m.bytes[raw]
-            n_ids = np.bincount(row, weights=times, minlength=n).astype(np.int64)
+            n_ids, ids = _ids(row[order], piece[order], char[order], len(rows), m)
             counts[rows] = n_ids
             parts.append((rows, n_ids, ids))
+    for i in np.flatnonzero(all_lengths > LONG):
+        piece, char = forward.long(code_points([words[i]])[0][0])
+        counts[i : i + 1], ids = _ids(np.zeros(len(piece), np.int64), piece, char, 1, m)
+        parts.append((np.array([i]), counts[i : i + 1], ids))
     if not parts:
         return np.zeros(0, np.int32), counts
     ids = np.concatenate([p[2] for p in parts])
@@ -87,6 +86,19 @@ def encode_words(words: list[str], forward: Forward) -> tuple[np.ndarray, np.nda
     return ids[ragged(start, counts)], counts
 
 
+def _ids(row: np.ndarray, piece: np.ndarray, char: np.ndarray, n: int, m: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each of n rows, ids) of pieces in order; without byte pieces a run of unknown characters is one id."""
+    lone = piece == -2
+    times = np.where(lone & m.byte_fallback, utf8_lengths(char), 1)
+    if not m.byte_fallback:
+        times[1:][lone[1:] & lone[:-1] & (row[1:] == row[:-1])] = 0
+    ids = np.repeat(np.where(lone, m.unknown, piece), times).astype(np.int32)
+    if lone.any() and m.byte_fallback:
+        raw = utf8_bytes(char[lone], times[lone])
+        ids[ragged((np.cumsum(times) - times)[lone], times[lone])] = m.bytes[raw]
+    return np.bincount(row, weights=times, minlength=n).astype(np.int64), ids
+
+
 def _encode_runs(words: list[str], forward: Forward) -> tuple[np.ndarray, np.ndarray]:
     """As encode_words, for BPE pre-tokens that may begin with several spaces: runs merge last, from the left."""
     m = forward.m
@@ -118,7 +130,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, number of ids of each text)."""
-        if len(self.index) > KEPT_WORDS:
+        if len(self.index) > KEPT_WORDS or len(self.ids) > KEPT_IDS:
             self.clear()
         lists = [pretokens(t, self.forward.m.prefix) for t in texts]
         words = [w for ws in lists for w in ws]
@@ -146,6 +158,8 @@ class Decoder:
         self.prefix = model.prefix
 
     def __call__(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.length):
+            raise ValueError("an id is outside the model")
         size = self.length[ids]
         raw = self.raw[ragged(self.start[ids], size)].tobytes()
         ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
@@ -177,7 +191,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
 
 def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """(doc_id, decoded) of every row of ids; null ids give null, and ids outside the model raise an error."""
+    """(doc_id, decoded) of every row of ids; a null list gives null."""
     shared = tokens.sparkSession.sparkContext.broadcast(load_model(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,5 +202,5 @@ def decode(tokens: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
             texts = decode_ids(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string(), mask=lists.is_null().to_numpy(zero_copy_only=False))], names=["doc_id", "decoded"])
 
-    rows = tokens.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
+    rows = tokens.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.filter(F.col(f"`{ids_col}`").cast("array<int>"), lambda i: i.isNotNull()).alias("ids"))
     return rows.mapInArrow(run, "doc_id bigint, decoded string")
