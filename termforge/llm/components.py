@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 
+def joined(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least of 0 .. n - 1 that each is joined to by the edges (x, y), in one task."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        np.minimum.at(root, before[x], low)
+        np.minimum.at(root, before[y], low)
+        while (root[root] != root).any():
+            root = root[root]
+        open_ = root[x] != root[y]
+        if not open_.any():
+            return root
+        x, y = x[open_], y[open_]
+
+
 def components(edges: DataFrame, what: str = "components") -> DataFrame:
     """(node, root) for every node of edges (a, b); root is the least node of its component.
 

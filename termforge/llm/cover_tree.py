@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions, written
-from .components import components
+from .components import components, joined
 from .kernels import ragged, tidy
 from .ngram_corpus import load, save
 from .topk import DIGITS, matrix, vectors
@@ -166,16 +166,7 @@ class Links:
         """The least position that each is joined to."""
         n = len(self.a.ids) + (0 if self.same else len(self.b.ids))
         x, y = (np.concatenate(e) for e in zip(*self.edges)) if self.edges else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        root = np.arange(n)
-        while True:
-            low = np.minimum(root[x], root[y])
-            before = root.copy()
-            np.minimum.at(root, before[x], low)
-            np.minimum.at(root, before[y], low)
-            while (root[root] != root).any():
-                root = root[root]
-            if (root[x] == root[y]).all():
-                break
+        root = joined(n, x, y)
         moved = np.flatnonzero(root != np.arange(n))
         self.edges, self.held = [(moved, root[moved])], len(moved)
         return root
