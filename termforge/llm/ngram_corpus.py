@@ -1,7 +1,7 @@
 """Every document of a corpus scored by n-grams of any length, each word against the corpus without its own occurrence.
 
 C(i, m) is how often the m words that end at place i occur in the corpus, and F(i, m) how often before another word of their
-document; both fall with m. They are asked for at m = 1, 2, 4, ... as long as C is 2 or more, and then, between two lengths
+document; both fall with m. They are asked for at m = 1, 2, 3, 4, 8, 16, ... as long as C is 2 or more, and then, between two lengths
 at which they differ, by halving; between equal ones they are constant. All places that hold an n-gram come to the same
 lengths, so each question reaches every occurrence; lengths that reach over the start of a document count 0. So a place costs a few questions for each change of
 its counts, and not one for each length, and there is no greatest n.
@@ -41,7 +41,8 @@ from .ngram import ALPHA
 from .passages import words_of
 
 _BASE = 0xD6E8FEB86659FD93
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
+SINGLE = 4
 ENTRIES = 750_000
 STATE = "shard string, answers array<string>, questions string, open bigint, n_words bigint"
 LISTS = "shard string, hashes array<bigint>, found array<bigint>, followed array<bigint>"
@@ -49,12 +50,20 @@ SCORES = "doc_id bigint, n_words int, log2_probability double, mean_context doub
 QUESTION = ("place", "a", "found_a", "followed_a", "b", "found_b", "followed_b", "unique")
 
 
+def packed(values: np.ndarray) -> np.ndarray:
+    """Integers in the fewest bytes that hold them all."""
+    for kind in (np.int8, np.int16, np.int32):
+        if values.dtype.kind == "i" and len(values) and np.iinfo(kind).min <= values.min() and values.max() <= np.iinfo(kind).max:
+            return values.astype(kind)
+    return values
+
+
 def save(folder: str, **arrays: np.ndarray) -> str:
     """The name of a new file with these arrays; no name is used twice, so a task may be tried again."""
     where, at = fs.FileSystem.from_uri(folder)
     where.create_dir(at)
     name = uuid.uuid4().hex
-    table = pa.table({k: list_array(v, np.array([0, len(v)])) for k, v in arrays.items()})
+    table = pa.table({k: list_array(packed(v), np.array([0, len(v)])) for k, v in arrays.items()})
     with where.open_output_stream(f"{at}/{name}") as out, ipc.new_file(out, table.schema, options=ipc.IpcWriteOptions(compression="zstd")) as file:
         file.write_table(table)
     return name
@@ -64,7 +73,19 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
     where, at = fs.FileSystem.from_uri(folder)
     with where.open_input_file(f"{at}/{name}") as file:
         table = ipc.open_file(file).read_all()
-    return {k: table.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False) for k in table.column_names}
+    out = {k: table.column(k).combine_chunks().flatten().to_numpy(zero_copy_only=False) for k in table.column_names}
+    return {k: v.astype(np.int64) if v.dtype.kind == "i" else v for k, v in out.items()}
+
+
+def save_places(folder: str, place: np.ndarray, **arrays: np.ndarray) -> str:
+    """As save; what belongs to places goes in their order, so that their differences are small."""
+    order = np.argsort(place, kind="stable")
+    return save(folder, place=np.diff(place[order], prepend=0), **{k: v[order] for k, v in arrays.items()})
+
+
+def load_places(folder: str, name: str) -> dict[str, np.ndarray]:
+    kept = load(folder, name)
+    return kept | {"place": np.cumsum(kept["place"])}
 
 
 def flat_lists(table: pa.Table, name: str) -> np.ndarray:
@@ -79,7 +100,8 @@ class Shard:
         self.doc_id, self.has_id, self.has_text, self.n_words = (kept[k] for k in ("doc_id", "has_id", "has_text", "n_words"))
         self.row = np.repeat(np.arange(len(self.n_words)), self.n_words)
         end = np.cumsum(self.n_words)
-        words = kept["word"].view(np.uint64)[kept["code"]]
+        self.word, self.code = kept["word"], kept["code"]
+        words = self.word.view(np.uint64)[self.code]
         self.at = np.arange(len(words)) - (end - self.n_words)[self.row]
         self.followed = np.ones(len(words), bool)
         self.followed[end[self.n_words > 0] - 1] = False
@@ -90,7 +112,7 @@ class Shard:
     def questions(self, folder: str, name: str) -> dict[str, np.ndarray]:
         """Open intervals of lengths, from a to b, or from a on where b is 0; those that are unique need no other shard."""
         if name:
-            return load(folder, name)
+            return load_places(folder, name)
         n = len(self.at)
         return {k: np.arange(n) if k == "place" else np.zeros(n, np.int64) for k in QUESTION}
 
@@ -101,7 +123,12 @@ class Shard:
 
 
 def asked(q: dict[str, np.ndarray]) -> np.ndarray:
-    return np.where(q["b"] > 0, (q["a"] + q["b"]) // 2, np.maximum(1, 2 * q["a"]))
+    return np.where(q["b"] > 0, (q["a"] + q["b"]) // 2, following(q["a"]))
+
+
+def following(m: np.ndarray) -> np.ndarray:
+    """The next length to ask for: by one at first, where most n-grams turn out to be unique, then by doubling."""
+    return np.where(m < SINGLE, m + 1, 2 * m)
 
 
 def narrowed(q: dict[str, np.ndarray], m: np.ndarray, found: np.ndarray, followed: np.ndarray, n_places: int) -> dict[str, np.ndarray]:
@@ -111,7 +138,7 @@ def narrowed(q: dict[str, np.ndarray], m: np.ndarray, found: np.ndarray, followe
     held, held_a = np.zeros(n_places, bool), np.zeros(n_places, bool)
     held[q["place"][on & (found > 1)]] = True
     held_a[q["place"][on]] = True
-    alone = (~held[np.maximum(q["place"] - m, 0)]).astype(np.int64)
+    alone = (~held[np.maximum(q["place"] - (following(m) - m), 0)]).astype(np.int64)
     alone_half = (on & ~held_a[np.maximum(q["place"] - ((q["a"] + m) // 2 - q["a"]), 0)]).astype(np.int64)
     below = ((q["found_a"] != found) | (q["followed_a"] != followed)) & (m - q["a"] > 1)
     above = ~on & (found > 1) & ((q["found_b"] != found) | (q["followed_b"] != followed)) & (q["b"] - m > 1)
@@ -133,7 +160,7 @@ def shards(rows: DataFrame, folder: str, shard_bytes: int) -> DataFrame:
                 w = words_of(part, power, table)
                 word, code = np.unique(w.hashes, return_inverse=True)
                 own = slice(row, row + len(part))
-                name = save(folder, doc_id=doc_id[own], has_id=has_id[own], has_text=has_text[own], n_words=np.diff(w.first), word=word.view(np.int64), code=code.reshape(-1).astype(np.int32))
+                name = save(folder, doc_id=doc_id[own], has_id=has_id[own], has_text=has_text[own], n_words=np.diff(w.first), word=word.view(np.int64), code=code.reshape(-1).astype(np.int64))
                 yield pa.RecordBatch.from_pylist([{"shard": name, "answers": [], "questions": "", "open": len(w.hashes), "n_words": len(w.hashes)}], schema=pa.schema([("shard", pa.string()), ("answers", pa.list_(pa.string())), ("questions", pa.string()), ("open", pa.int64()), ("n_words", pa.int64())]))
 
     return rows.mapInArrow(tidy(run), STATE)
@@ -175,7 +202,7 @@ def summed(table: pa.Table) -> pa.Table:
     return pa.table([table.column("shard").combine_chunks(), *(list_array(x[which], cuts) for x in (hashes, found, followed))], names=["shard", "hashes", "found", "followed"])
 
 
-def taker(folder: str, before: str, after: str):
+def taker(folder: str, before: str, after: str, turn: int):
     """Takes in the answers of a round and says what is open then."""
 
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
@@ -195,15 +222,36 @@ def taker(folder: str, before: str, after: str):
             at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
             hit = hashes[at] == mine
             found[real[hit]], followed[real[hit]] = (x[order][at[hit]] for x in sums)
-        name = save(folder, place=place[real].astype(np.int32), m=m[real].astype(np.int32), found=found[real], followed=followed[real])
+        # What occurs once is left out: from one over the longest that occurs twice on, all does.
+        some = real[found[real] > 1]
+        if turn:
+            name = save_places(folder, place[some], m=m[some], found=found[some], followed=followed[some])
+        else:
+            code, first = np.unique(s.code[place[some]], return_index=True)
+            name = save(folder, code=code, found=found[some[first]], followed=followed[some[first]])
         left = narrowed(q, m, found, followed, len(s.at))
         n = len(left["place"])
-        r |= {"answers": [*r["answers"], name], "questions": save(after, **left) if n else "", "open": n}
+        r |= {"answers": [*r["answers"], name], "questions": save_places(after, **left) if n else "", "open": n}
         return pa.Table.from_pylist([r], schema=pa.schema([("shard", pa.string()), ("answers", pa.list_(pa.string())), ("questions", pa.string()), ("open", pa.int64()), ("n_words", pa.int64())]))
 
     return run
 
 
+def counts_of(s: Shard, folder: str, names: list[str]) -> dict[str, np.ndarray]:
+    """What is known of each place, by place and length; the last of each place is the least length that occurs once."""
+    first, *more = (load(folder, names[0]), *(load_places(folder, name) for name in names[1:]))
+    at = np.full(len(s.word), -1)
+    at[first["code"]] = np.arange(len(first["code"]))
+    of = at[s.code]
+    single = np.flatnonzero(of >= 0)
+    parts = [{"place": single, "m": np.ones(len(single), np.int64), "found": first["found"][of[single]], "followed": first["followed"][of[single]]}, *more]
+    longest = np.zeros(len(s.at), np.int64)
+    for x in parts:
+        np.maximum.at(longest, x["place"], x["m"])
+    parts.append({"place": np.arange(len(s.at)), "m": longest + 1, "found": np.ones(len(s.at), np.int64), "followed": s.followed.astype(np.int64)})
+    return {k: np.concatenate([x[k] for x in parts]) for k in ("place", "m", "found", "followed")}
+
+
 def probabilities(s: Shard, known: dict[str, np.ndarray], total: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """(log2 probability, words of the longest context) of each place of a shard, in a corpus of `total` words."""
     n_places = len(s.at)
@@ -256,7 +304,7 @@ def score_corpus(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         before, after = f"{folder}-{turn}", f"{folder}-{turn + 1}"
         questions = ask(state.where("open > 0").repartition(n_shards), before, folder, max(partitions(spark), math.ceil(pending / ENTRIES)))
         answers = questions.groupBy("bucket").applyInArrow(summed, LISTS)
-        taken = state.where("open > 0").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(taker(folder, before, after), STATE)
+        taken = state.where("open > 0").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(taker(folder, before, after, turn), STATE)
         state = written(taken.union(state.where("open = 0")), "shards")
         asked_now = pending
         pending, turn = state.agg(F.sum("open")).first()[0] or 0, turn + 1
@@ -274,8 +322,7 @@ def score_corpus(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n = len(s.n_words)
                 log, context = np.zeros(0), np.zeros(0, np.int64)
                 if len(s.at):
-                    parts = [load(folder, name) for name in r["answers"]]
-                    log, context = probabilities(s, {k: np.concatenate([x[k] for x in parts]) for k in parts[0]}, total, alpha)
+                    log, context = probabilities(s, counts_of(s, folder, r["answers"]), total, alpha)
                 sums = [np.bincount(s.row, x, n) for x in (log, context)]
                 mean = sums[1] / np.maximum(s.n_words, 1)
                 null = ~s.has_text
