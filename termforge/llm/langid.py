@@ -6,8 +6,8 @@ other characters than letters as one space; a text is encoded as consecutive pie
 afresh, and their sizes are summed, so a long text does not become its own dictionary. Where the runner-up's size is within a relative margin of the smallest,
 or the text is null, or has no letter, the text is rejected (lang null).
 
-Fitting is the one step that reads a bounded sample: of every language the `rows` labelled texts with the least hash of
-their id, cut at `dict_bytes` bytes in all. Both bounds are parameters. Deciding reads every text whole.
+Fitting is the one step that reads a bounded sample: of each of the `languages` most frequent labels the `rows` labelled
+texts with the least hash of their id, cut at `dict_bytes` bytes in all. All three bounds are parameters. Deciding reads every text whole.
 
 Defined cases: null or empty texts and texts without a letter are rejected with margin 0; equal sizes have margin 0 and
 are rejected; with fewer than two languages to choose from nothing can be rejected for its margin; repeated rows get
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from .kernels import chunks, tidy
 
 ROWS = 128
+LANGUAGES = 64
 DICT_BYTES = 1 << 18
 LEVEL = 3
 MARGIN = 0.005
@@ -39,14 +40,21 @@ def folded(texts: pa.Array) -> pa.Array:
     return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\p{L}]+", " "), " ")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Dictionaries by language, from at most `rows` labelled texts of each and at most `dict_bytes` bytes."""
-    labelled = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{lang_col}`").alias("lang")).where("k is not null and lang is not null")
+def chosen(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", rows: int = ROWS, languages: int = LANGUAGES) -> DataFrame:
+    """(k, lang, rank): the ids that the dictionaries are made of, at most rows x languages."""
+    labelled = docs.select(F.col(f"`{id_col}`").alias("k"), F.col(f"`{lang_col}`").alias("lang")).where("k is not null and lang is not null").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("k"), "k")
-    chosen = labelled.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    # At most `rows` ids of each language: a bounded side.
-    found = texts.join(F.broadcast(chosen), F.col("id") == F.col("k")).where("text is not null").select("lang", "rank", "text").collect()
+    common = labelled.groupBy(F.col("lang").alias("own")).count().orderBy(F.desc("count"), "own").limit(languages)
+    ranked = labelled.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows)
+    return ranked.join(F.broadcast(common), F.col("lang") == F.col("own"), "left_semi")
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, dict_bytes: int = DICT_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
+    """Dictionaries of the `languages` most frequent labels, from at most `rows` labelled texts of each and at most `dict_bytes` bytes."""
+    # Of each text only the end can get into a dictionary; letters aren't shortened by more than a third in lower case.
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.substring(F.col(f"`{text_col}`"), -4 * dict_bytes, 4 * dict_bytes).alias("text"))
+    # At most rows x languages ids: a bounded side.
+    found = texts.join(F.broadcast(chosen(docs, id_col, lang_col, rows, languages)), F.col("id") == F.col("k")).where("text is not null").select("lang", "rank", "text").collect()
     out: dict[str, bytes] = {}
     for lang, _, text in sorted(tuple(x) for x in found):
         out[lang] = out.get(lang, b"") + folded(pa.array([text]))[0].as_py().encode() + b" "
