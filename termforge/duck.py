@@ -89,7 +89,12 @@ def entries(profile: Profile, table: str = "documents", key: str = "doc_id") ->
     return lines(profile, table, key) + f""",
 cut AS (SELECT *, {meets('line', P.SPLIT)} AS splits, {clean_term(part % 1)} AS cand, {strip(part % 3)} AS def FROM valid),
 gate AS (SELECT *, coalesce(splits AND {valid_term('cand', "def <> ''", profile)} AND NOT {meets('cand', P.LEADING_STOP, 'i')}, false) AS starts FROM cut),
-island AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY doc_id, page_idx ORDER BY n) AS no FROM gate),
+""" + entry_tail(profile)
+
+
+def entry_tail(profile: Profile) -> str:
+    """CTEs from `gate` (doc_id, page_idx, n, line, cand, def, starts) up to `best`."""
+    return f"""island AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY doc_id, page_idx ORDER BY n) AS no FROM gate),
 joined AS (SELECT doc_id, page_idx, no, max(cand) FILTER (WHERE starts) AS term, string_agg(CASE WHEN starts THEN def ELSE line END, ' ' ORDER BY n) AS def FROM island WHERE no > 0 GROUP BY doc_id, page_idx, no),
 tidy AS (SELECT doc_id, page_idx, no, term, {citations(spacing(strip('def')), profile.citation)} AS def FROM joined),
 kept AS (SELECT * FROM tidy WHERE def <> '' AND length(def) <= 5000 AND NOT {gibberish('def')}),
@@ -102,6 +107,38 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term_normalized ORD
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_idx, no) AS ord FROM ranked WHERE r = 1)"""
 
 
+def first_word(c: str) -> str:
+    return f"regexp_extract({c}, '^\\s*(\\S+)', 1)"
+
+
+def acronym_line(c: str) -> str:
+    w = first_word(c)
+    return f"(length({c}) BETWEEN 1 AND 60 AND regexp_matches({w}, '{P.ACRONYM}') AND (regexp_matches({w}, '[A-Z]\\.[A-Z]') OR NOT contains(substr({c}, 1, 30), '.')))"
+
+
+def starred(c: str) -> str:
+    rest = f"regexp_replace({c}, '^\\*+\\s*', '')"
+    return f"CASE WHEN starts_with({c}, '*') AND {rest} <> '' THEN {rest} ELSE {c} END"
+
+
+def spatial_gate(profile: Profile, legacy: bool = False) -> str:
+    """CTEs from `spans` (doc_id, page_idx, n, y, x, bold, text) up to `gate`: the new-term gate by place and type of the first
+    span, and a term that goes on over spans of a term's style."""
+    gate = "x < mx + 30" if legacy else "(x < mx + 30 AND (bs[1] OR acr)) OR (x < mx + 80 AND acr)"
+    stop = f"(NOT (bs[i] OR regexp_matches({first_word('ts[i]')}, '{P.ACRONYM}')) OR regexp_matches(ts[i], '[!.?]\\s+[a-z]') OR starts_with(ts[i], '('))"
+    part = f"regexp_extract(head, {rx(P.SPLIT)}, %d)"
+    return f"""
+phys AS (SELECT doc_id, page_idx, y AS n, list(text ORDER BY x, n) AS ts, list(bold ORDER BY x, n) AS bs, min(x) AS x, string_agg(text, ' ' ORDER BY x, n) AS line FROM spans GROUP BY doc_id, page_idx, y),
+zone AS (SELECT *, {meets('line', P.any_of(profile.document_headers), 'i')} AS hd, {meets('line', profile.footer_match(), 'i')} AS ft, {acronym_line(strip('line'))} AS acr FROM phys WHERE NOT {meets('line', profile.invalid_match(), 'i')}),
+stay AS (SELECT *, min(x) OVER (PARTITION BY doc_id, page_idx) AS mx FROM zone WHERE NOT (n < 150 AND hd) AND NOT (n > 792 * 0.88 AND (ft OR hd))),
+walk AS (SELECT *, coalesce(nullif(list_position([{stop} for i in range(2, len(ts) + 1)], true), 0), len(ts)) AS k FROM stay),
+heads AS (SELECT *, {strip("array_to_string(ts[1:k], ' ')")} AS head, array_to_string(ts[k + 1:], ' ') AS tail FROM walk),
+halves AS (SELECT *, {meets('head', P.SPLIT)} AND length({strip(part % 1)}) < 50 AS halved FROM heads),
+terms AS (SELECT *, {clean_term(f"CASE WHEN halved THEN {strip(part % 1)} ELSE head END")} AS marked, CASE WHEN halved THEN {strip(part % 3)} ELSE '' END AS own FROM halves),
+clean AS (SELECT *, {starred('marked')} AS cand FROM terms),
+gate AS (SELECT doc_id, page_idx, n, line, cand, array_to_string(list_filter([own, tail], lambda t: t <> ''), ' ') AS def, ({gate}) AND {valid_term('cand', "own <> ''", profile)} AS starts FROM clean)"""
+
+
 def pages(table: str = "documents", key: str = "doc_id") -> str:
     """CTEs up to `pages`: plain texts as pages of thirty lines."""
     return f"""

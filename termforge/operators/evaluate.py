@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +18,48 @@ THRESHOLD_SCHEMA = "doc_type string, source_type string, min_precision double, m
 TIER1_RECALL = 0.95
 
 
+def prefix_matches(rows: DataFrame, text_col: str, prefixes: DataFrame, prefix_col: str) -> DataFrame:
+    """rows with each of the prefixes (and its other columns) that a text begins with; those that begin with none are left out.
+
+    Beginnings of as many lengths as the prefixes have are compared for equality, so no row meets all prefixes; the
+    lengths are the one thing that is collected, and there are no more of them than the longest prefix has characters.
+    """
+    lengths = sorted(r[0] for r in prefixes.select(F.length(prefix_col)).where(F.col(prefix_col).isNotNull()).distinct().collect())
+    cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length(text_col))
+    begun = rows.withColumn("beginning", F.explode(F.transform(cuts, lambda n: F.substring(text_col, F.lit(1), n))))
+    return begun.join(prefixes, F.col("beginning") == F.col(prefix_col)).drop("beginning")
+
+
 def verdicts(entries: DataFrame) -> DataFrame:
     """(pdf, source_type, term, verdict) of entries (pdf, source_type, term, definition)."""
     return entries.select("pdf", "source_type", "term", classify(F.col("term"), F.col("definition")).alias("verdict"))
 
 
+def candidate_entries(candidates: DataFrame) -> DataFrame:
+    """(pdf, source_type, term, definition) of all entries of output documents."""
+    one = candidates.select(F.col("source_pdf").alias("pdf"), F.explode("entries").alias("e"))
+    return one.select("pdf", "e.source_type", "e.term", "e.definition")
+
+
+def corpus_hash(files: DataFrame, name_col: str, content_col: str) -> DataFrame:
+    """(corpus_hash): one SHA-256 over all names and contents in the order of names, as 'sha256:...'.
+
+    A hash of a sequence is taken in sequence: names are sorted by all tasks, then one reads them range by range and keeps
+    nothing but the hash.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = hashlib.sha256()
+        for b in batches:
+            for name, content in zip(b.column(0), b.column(1)):
+                h.update(name.as_py().encode())
+                h.update(content.as_buffer() or b"")
+        yield pa.RecordBatch.from_pydict({"corpus_hash": [f"sha256:{h.hexdigest()}"]})
+
+    rows = files.select(F.col(name_col).alias("name"), F.col(content_col).cast("binary").alias("content")).where("name IS NOT NULL AND content IS NOT NULL")
+    return rows.sort("name").coalesce(1).mapInArrow(run, "corpus_hash string")
+
+
 def verdict_counts(rows: DataFrame) -> DataFrame:
     """(source_type, g, b)."""
     return rows.groupBy("source_type").agg(F.count_if(F.col("verdict") == "g").alias("g"), F.count_if(F.col("verdict") == "b").alias("b"))
@@ -116,9 +157,9 @@ def golden_diff(actual: DataFrame, golden: DataFrame, accepted: DataFrame, key:
 
 def section_distribution(payload: DataFrame, baseline: DataFrame) -> DataFrame:
     """(pdf, section_structure, fired, entry_count, baseline_count, delta); baseline (source_pdf, n) is met by the stem's prefix."""
-    stem = F.regexp_replace("pdf", r"\.[^.]*$", "")
-    hit = payload.join(F.broadcast(baseline), F.col("source_pdf").startswith(stem), "left")
-    g = hit.groupBy("pdf", "section_structure", "fired", "entry_count").agg(F.min_by("n", "source_pdf").alias("baseline_count"))
+    stems = payload.withColumn("stem", F.regexp_replace("pdf", r"\.[^.]*$", ""))
+    met = prefix_matches(baseline, "source_pdf", stems.select("stem").distinct(), "stem").groupBy("stem").agg(F.min_by("n", "source_pdf").alias("baseline_count"))
+    g = stems.join(met, "stem", "left").select("pdf", "section_structure", "fired", "entry_count", "baseline_count")
     return g.withColumn("delta", F.col("entry_count") - F.col("baseline_count"))
 
 
@@ -162,9 +203,10 @@ def build_labels(entries: DataFrame, overrides: DataFrame, reviewed: DataFrame)
     overrides (prefix, term, action: to_bad, to_good or exclude) and reviewed (prefix) are met by the beginning of the name.
     """
     base = verdicts(entries)
-    seen = base.join(F.broadcast(reviewed.select(F.col("prefix").alias("rp")).distinct()), F.col("pdf").startswith(F.col("rp")), "left").groupBy("pdf", "source_type", "term", "verdict").agg(F.max(F.col("rp").isNotNull()).alias("reviewed"))
-    acts = overrides.select(F.col("prefix").alias("op"), F.col("term").alias("ot"), "action").distinct()
-    marked = seen.join(F.broadcast(acts), F.col("pdf").startswith(F.col("op")) & (F.col("term") == F.col("ot")), "left").groupBy("pdf", "source_type", "term", "verdict", "reviewed").agg(F.collect_set("action").alias("actions"))
+    names = base.select("pdf").distinct()
+    known = prefix_matches(names, "pdf", reviewed.select(F.col("prefix").alias("rp")).distinct(), "rp").select("pdf", F.lit(True).alias("known")).distinct()
+    acts = prefix_matches(names, "pdf", overrides.select("prefix").distinct(), "prefix").join(overrides.distinct(), "prefix").groupBy("pdf", "term").agg(F.collect_set("action").alias("actions"))
+    marked = base.distinct().join(known, "pdf", "left").withColumn("reviewed", F.coalesce("known", F.lit(False))).join(acts, ["pdf", "term"], "left")
     act = lambda a: F.col("reviewed") & F.array_contains("actions", a)
     kind = (
         F.when(act("exclude"), None)

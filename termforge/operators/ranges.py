@@ -121,7 +121,7 @@ def loose_ranges(pages: DataFrame) -> DataFrame:
     """(doc_id, start, end) from the first page with a loosely written header that is not in a table of contents."""
     header = java(D.LOOSE_HEADER, "i")
     # What follows the first match: all but the first piece, the text being cut at most once.
-    after = F.substring(F.element_at(F.split("text", header, 2), 2), 1, 80)
+    after = F.substring(F.coalesce(F.try_element_at(F.split("text", header, 2), F.lit(2)), F.lit("")), 1, 80)
     lead = after.contains("…") | after.contains("....") | F.regexp_extract(after, r"^[^\n]*", 0).rlike(java(r"^\s*\d+\s*$"))
     contents = lead & (F.regexp_count("text", F.lit(r"\.{4,}")) >= 5)
     fine = ~F.col("read_error")

@@ -56,7 +56,7 @@ def extract(pages: DataFrame, spans: DataFrame, profile: Profile, unicode_form:
 def payloads(docs: DataFrame, pages: DataFrame, spans: DataFrame, profile: Profile, deterministic: bool = True) -> DataFrame:
     """A row for each of docs (doc_id, filename, gcs_key): the versioned output document.
 
-    deterministic leaves out the one field that depends on the time.
+    doc_id names a document within the plan; where docs have a column given_id, that is the id which goes out. deterministic leaves out the one field that depends on the time.
     """
     every, layers, where, fallback = extract(pages, spans, profile)
     every = stored(every, "found")
@@ -86,7 +86,7 @@ def payloads(docs: DataFrame, pages: DataFrame, spans: DataFrame, profile: Profi
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.col("filename").alias("source_pdf"),
         F.col("gcs_key").alias("source_gcs_key"),
-        F.col("doc_id").alias("source_doc_id"),
+        F.col("given_id" if "given_id" in docs.columns else "doc_id").alias("source_doc_id"),
         publication.alias("source_pub_number"),
         T.document_type(publication).alias("source_doc_type"),
         F.lit(EXTRACTOR_VERSION).alias("extractor_version"),

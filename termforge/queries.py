@@ -78,16 +78,16 @@ def document_term_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.term_sets(glossary_of(spark, sf_dir), "doc_id").select("doc_id", F.array_join("term_set", "|").alias("term_set"))
 
 
-@query("WITH " + duck.entries(DOD) + f""", g AS (SELECT doc_id, page_idx, n, splits, starts, {duck.valid_term('cand', "def <> ''", DOD)} AS valid, {duck.meets('cand', P.LEADING_STOP, 'i')} AS stop FROM gate WHERE splits)
-SELECT CAST(count(*) AS BIGINT) AS split_lines, CAST(count(*) FILTER (WHERE valid) AS BIGINT) AS valid_terms, CAST(count(*) FILTER (WHERE stop) AS BIGINT) AS stop_words, CAST(count(*) FILTER (WHERE starts) AS BIGINT) AS starts FROM g""")
+@query("WITH " + duck.entries(DOD) + " SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (WHERE starts) AS BIGINT) AS starts, CAST(sum(CASE WHEN starts THEN length(cand) ELSE 0 END) AS BIGINT) AS term_chars, CAST(sum(length(CASE WHEN starts THEN def ELSE line END)) AS BIGINT) AS piece_chars FROM gate GROUP BY doc_id")
 def gate_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the term gate decides, line by line, counted."""
-    lines = segment.zoned(readers.text_lines(table(spark, sf_dir, "documents")), DOD).where("dropped IS NULL")
-    line = T.strip(F.col("full"))
-    cut = lines.withColumn("split", T.split_term(line)).where("split IS NOT NULL").withColumn("term", T.clean_term(F.col("split.term")))
-    valid = T.is_valid_term(F.col("term"), F.length("split.definition") > 0, DOD)
-    stop = T.starts_with_stop_word(F.col("term"))
-    return cut.select(valid.alias("valid"), stop.alias("stop")).agg(F.count("*").alias("split_lines"), F.count_if("valid").alias("valid_terms"), F.count_if("stop").alias("stop_words"), F.count_if(F.col("valid") & ~F.col("stop")).alias("starts"))
+    """What the term gate of text decides, line by line, counted."""
+    lines = segment.gated(readers.text_lines(table(spark, sf_dir, "documents")), DOD)
+    return gate_counts(lines)
+
+
+def gate_counts(lines: DataFrame) -> DataFrame:
+    starts = F.col("starts")
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(starts).alias("starts"), F.sum(F.when(starts, F.length("term")).otherwise(0)).alias("term_chars"), F.sum(F.length(F.array_join("pieces", " "))).alias("piece_chars"))
 
 
 @query("WITH " + duck.pages("(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)") + ", " + duck.entries(DOD, "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)").lstrip() + " SELECT doc_id, term, definition FROM best")
@@ -205,26 +205,27 @@ def zone_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.zoned(_page_lines(spark, sf_dir), SYNTHETIC).groupBy(F.coalesce("dropped", F.lit("kept")).alias("fate")).agg(F.count("*").alias("n"))
 
 
-@query("WITH " + _SPANS_SQL.lstrip() + f""",
-z AS (SELECT *, {duck.meets('line_text', P.any_of(ARMY.document_headers), 'i')} AS hd, {duck.meets('line_text', ARMY.footer_match(), 'i')} AS ft FROM ln WHERE NOT {duck.meets('line_text', ARMY.invalid_match(), 'i')}),
-v AS (SELECT *, min(x) OVER (PARTITION BY doc_id, page_idx) AS mx, regexp_extract(line_text, '^\\s*(\\S+)', 1) AS w FROM z WHERE NOT (y < 150 AND hd) AND NOT (y > 792 * 0.88 AND (ft OR hd))),
-a AS (SELECT *, length(line_text) <= 60 AND regexp_matches(w, '^[A-Z][A-Z0-9.\\-]{{1,14}}$') AND (regexp_matches(w, '[A-Z]\\.[A-Z]') OR NOT contains(substr(line_text, 1, 30), '.')) AS acr FROM v)
-SELECT doc_id, CAST(count(*) FILTER (WHERE (x < mx + 30 AND (bold OR acr)) OR (x < mx + 80 AND acr)) AS BIGINT) AS gated, CAST(count(*) FILTER (WHERE x < mx + 30) AS BIGINT) AS legacy, CAST(count(*) AS BIGINT) AS valid FROM a GROUP BY doc_id""")
+_GATE_COUNTS = " SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(count(*) FILTER (WHERE starts) AS BIGINT) AS starts, CAST(sum(CASE WHEN starts THEN length(cand) ELSE 0 END) AS BIGINT) AS term_chars, CAST(sum(length(CASE WHEN starts THEN def ELSE line END)) AS BIGINT) AS piece_chars FROM gate GROUP BY doc_id"
+
+
+@query("WITH " + _SPANS_SQL.lstrip() + "," + duck.spatial_gate(ARMY) + _GATE_COUNTS)
 def spatial_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New-term lines by place and type, and by place alone."""
-    valid = segment.zoned(_page_lines(spark, sf_dir), ARMY).where("dropped IS NULL")
-    from pyspark.sql import Window
+    """New-term lines by place and type."""
+    return gate_counts(segment.gated(_page_lines(spark, sf_dir), ARMY))
 
-    placed = valid.withColumn("m", F.min("x0").over(Window.partitionBy("doc_id", "page_idx")))
-    acronym = T.is_acronym_line(T.strip(F.col("full")))
-    column, band = F.col("x0") < F.col("m") + segment.TERM_COLUMN, F.col("x0") < F.col("m") + segment.ACRONYM_COLUMN
-    gate = (column & (F.element_at("spans", 1)["bold"] | acronym)) | (band & acronym)
-    return placed.groupBy("doc_id").agg(F.count_if(gate).alias("gated"), F.count_if(column).alias("legacy"), F.count("*").alias("valid"))
 
+@query("WITH " + _SPANS_SQL.lstrip() + "," + duck.spatial_gate(ARMY, legacy=True) + _GATE_COUNTS)
+def legacy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New-term lines by place alone."""
+    return gate_counts(segment.gated(_page_lines(spark, sf_dir), ARMY, legacy=True))
 
-@query()
+
+_SPATIAL = "WITH " + _SPANS_SQL.lstrip() + "," + duck.spatial_gate(ARMY) + ",\n" + duck.entry_tail(ARMY)
+
+
+@query(_SPATIAL + " SELECT doc_id, term, term_normalized, definition, CAST(page_idx + 1 AS INTEGER) AS pdf_page_index FROM named")
 def spatial_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of web pages by the spatial gate (tests hold it against a fold over the lines)."""
+    """Entries of web pages by the spatial gate."""
     return segment.glossary_entries(_page_lines(spark, sf_dir), ARMY).select("doc_id", "term", "term_normalized", "definition", "pdf_page_index")
 
 
@@ -254,7 +255,7 @@ def top_zone_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def payload_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole plan: a versioned output document for each web page (tests hold its parts against folds)."""
+    """The whole plan: a versioned output document for each web page (its parts have queries of their own)."""
     raw = table(spark, sf_dir, "pages")
     spans = readers.html_spans(raw)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "text"))), lambda s: s["text"]), "\n")
@@ -265,29 +266,27 @@ def payload_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source_doc_id", "source_pdf", "text_sha256", "metadata.*", F.size("entries").alias("n_entries"), F.to_json("entries").alias("entries_json"))
 
 
-@query()
+@query("WITH " + duck.entries(DOD) + ", s AS (SELECT doc_id, bool_or(length(term) > 500 OR length(term_normalized) > 500) AS long_term, bool_or(length(definition) > 10000) AS long_definition FROM best GROUP BY doc_id) SELECT 'doc' || d.doc_id AS source_pdf, CASE WHEN long_term OR long_definition THEN 'fail' WHEN s.doc_id IS NULL THEN 'no-defs' ELSE 'ok' END AS status, CASE WHEN long_term OR long_definition THEN 'schema: ' || array_to_string(list_filter([CASE WHEN long_term THEN 'term, term_normalized' END, CASE WHEN long_definition THEN 'definition' END], lambda x: x IS NOT NULL), ', ') END AS message FROM documents d LEFT JOIN s ON s.doc_id = CAST(d.doc_id AS VARCHAR)")
 def payload_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome of each document, with the schema rules that it breaks."""
+    return pipeline.statuses(payload_rows(spark, sf_dir)).withColumn("source_pdf", F.regexp_replace("source_pdf", "[.]pdf$", ""))
+
+
+def payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An output document for each text."""
     docs = table(spark, sf_dir, "documents")
     every = glossary_of(spark, sf_dir)
     entry = F.struct("ord", *pipeline.ENTRY)
     best = dedupe(every).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(*(e[n].alias(n) for n in pipeline.ENTRY))).alias("entries"))
-    row = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("1").alias("schema_version"), F.concat(F.lit("doc"), "doc_id").alias("source_pdf"), F.lit(pipeline.EXTRACTOR_VERSION).alias("extractor_version"), T.sha256(F.col("text")).alias("text_sha256"))
+    row = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("1").alias("schema_version"), F.concat(F.lit("doc"), "doc_id", F.lit(".pdf")).alias("source_pdf"), F.lit(pipeline.EXTRACTOR_VERSION).alias("extractor_version"), T.sha256(F.col("text")).alias("text_sha256"))
     meta = F.struct(F.lit("none").alias("section_structure"), F.array().cast("array<int>").alias("glossary_pages")).alias("metadata")
     none = F.array().cast(best.schema["entries"].dataType)
-    return pipeline.statuses(row.join(best, "doc_id", "left").select("schema_version", "source_pdf", "extractor_version", "text_sha256", F.coalesce("entries", none).alias("entries"), meta))
+    return row.join(best, "doc_id", "left").select("schema_version", "source_pdf", F.col("doc_id").alias("source_doc_id"), "extractor_version", F.lit(DOD.name).alias("profile"), "text_sha256", F.coalesce("entries", none).alias("entries"), meta)
 
 
 # Scalar functions
 
 
-@query(f"SELECT doc_id, {duck.normalize('text')} AS normalized FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')")
-def normalize_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys of all texts of ASCII alone: what SQL can say of the key function."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", T.normalize_term(F.col("text")).alias("normalized"))
-
-
 @query(f"SELECT doc_id, {duck.normalize('text')} AS normalized FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of all texts. (The tables hold no character that the compatibility form changes, so the canonical form will do in SQL.)"""
@@ -570,12 +569,13 @@ def two_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(a, "doc_id", "left").join(b, "doc_id", "left").select("doc_id", F.coalesce("qa", "qb").alias("quality"), F.col("qa").isNotNull().alias("direct"))
 
 
-@query("SELECT b.item_id, CAST(count(d.doc_id) AS BIGINT) AS n FROM benchmark b LEFT JOIN documents d ON starts_with(d.text, substr(b.text, 1, 6)) GROUP BY b.item_id")
+@query("SELECT b.item_id, CAST(count(d.doc_id) AS BIGINT) AS n FROM (SELECT item_id, split_part(text, ' ', 1) AS p FROM benchmark) b LEFT JOIN documents d ON starts_with(d.text, p) GROUP BY b.item_id")
 def prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that begin with another table's text: equal beginnings first, so no nested loop over both tables."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 6).alias("p"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 6).alias("p"))
-    return items.join(docs, "p", "left").groupBy("item_id").agg(F.count("doc_id").alias("n"))
+    """How many texts begin with each of a set of prefixes, of whatever length."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("p"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    met = evaluate.prefix_matches(docs, "text", items.select("p").distinct(), "p").groupBy("p").agg(F.count("doc_id").alias("n"))
+    return items.join(met, "p", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("WITH " + duck.pages() + ", " + duck.ranges(SYNTHETIC).lstrip() + f""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import operator_queries  # noqa: F401  (adds its queries)
 from .queries import QUERIES, SQL, Query
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +74,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """(pdf, doc_type, kind, term, definition, source_type) of a label file in YAML: a file of the size of a hand's work."""
     import yaml
 
-    payload = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+    where, at = FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{Path(path).resolve()}")
+    with where.open_input_stream(at) as f:
+        payload = yaml.safe_load(f.read().decode()) or {}
     kinds = ("labels", "negative_labels", "tier1_positive_terms", "auto_positive_labels", "auto_negative_labels")
     rows = [(d["pdf"], d.get("doc_type"), kind, x["term"], x.get("definition"), x.get("source_type", "glossary")) for d in payload.get("documents", []) for kind in kinds for x in d.get(kind) or []]
     return spark.createDataFrame(rows, "pdf string, doc_type string, kind string, term string, definition string, source_type string")

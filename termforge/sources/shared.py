@@ -17,8 +17,13 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing else has."""
+    return f"{folder(spark)}/termforge/{what}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder."""
-    path = f"{folder(df.sparkSession)}/termforge/{what}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,9 +3,11 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from termforge import cli, registry
+from termforge.functions import text as T
 from termforge.functions.patterns import ARMY, get_profile
 from termforge.operators import layout
 from termforge.operators.dedup import dedupe
@@ -44,10 +46,60 @@ def test_sinks(spark, tmp_path):
     assert {tuple(r["violations"]) for r in bad.collect()} == {("schema_version",)}
 
 
-def test_command_line_usage(capsys):
+def test_command_line_usage(spark, capsys):
     assert cli.main([]) == 2
-    assert cli.main(["--input", "/nowhere.json", "--output", "/tmp/x"]) == 1
-    capsys.readouterr()
+    assert cli.main(["--input-dir", "/x", "--output-dir", "/y", "--doc-id", "1"]) == 2
+    assert cli.main(["--input", "/nowhere.json", "--output", "/tmp/x"], spark) == 1
+    with pytest.raises(SystemExit) as ended:
+        cli.main(["--version"])
+    assert ended.value.code == 0 and pipeline.EXTRACTOR_VERSION in capsys.readouterr().out
+
+
+DUMP = {
+    "doc_id": "d1",
+    "filename": "sub/AR_25-2.pdf",
+    "pages": [
+        {"text": "Cover " + "words " * 40, "height": 792.0, "label": "", "read_error": False, "blocks": []},
+        {"text": "Glossary\nSection II\nTerms\n" + "words " * 40, "height": 792.0, "label": "Glossary-1", "read_error": False, "blocks": [{"lines": [
+            {"spans": [{"text": "Section II", "bbox": [72.0, 180.0, 100.0, 190.0], "font": "Bold", "flags": 16}]},
+            {"spans": [{"text": "Acceptance", "bbox": [72.0, 200.0, 100.0, 210.0], "font": "Bold", "flags": 16}]},
+            {"spans": [{"text": "The formal approval of a product by the user.", "bbox": [90.0, 214.0, 300.0, 224.0], "font": "Roman", "flags": 4}]},
+            {"spans": [{"text": "  ", "bbox": [72.0, 220.0, 80.0, 224.0], "font": "Roman", "flags": 4}]},
+            {"spans": [{"text": "*Access control", "bbox": [72.0, 228.0, 100.0, 238.0], "font": "Bold", "flags": 16}]},
+            {"spans": [{"text": "The process of granting or denying requests.", "bbox": [90.0, 242.0, 300.0, 252.0], "font": "Roman", "flags": 4}]},
+        ]}]},
+        {"text": None, "height": 792.0, "label": None, "read_error": True, "blocks": [{"lines": [{"spans": [{"text": "lost", "bbox": [1.0, 2.0, 3.0, 4.0], "font": "x", "flags": 0}]}]}]},
+    ],
+}
+
+
+def test_command_line_over_a_dump(spark, tmp_path):
+    source = tmp_path / "in.json"
+    source.write_text(json.dumps(DUMP) + "\n" + json.dumps(DUMP | {"doc_id": "d2", "filename": "other/AR_25-2.pdf", "pages": DUMP["pages"][:1]}))
+    assert cli.main(["--input", str(source), "--output", str(tmp_path / "out"), "--gcs-key", "bucket/key", "--deterministic"], spark) == 0
+    names = sorted(n for n in os.listdir(tmp_path / "out") if n.endswith(".json"))
+    assert len(names) == 2 and "AR_25-2.json" in names
+    got = {r["source_doc_id"]: r for r in (json.loads((tmp_path / "out" / n).read_text()) for n in names)}
+    one, two = got["d1"], got["d2"]
+    assert [(e["term"], e["definition"], e["pdf_page_index"], e["printed_page_label"], e["flags"]) for e in one["entries"]] == [
+        ("Acceptance", "The formal approval of a product by the user.", 2, "Glossary-1", []),
+        ("Access control", "The process of granting or denying requests.", 2, "Glossary-1", [T.CHANGED_FLAG]),
+    ]
+    assert one["source_gcs_key"] == "bucket/key" and one["source_pub_number"] == "AR 25-2" and one["metadata"]["section_structure"] == "section_ii_only"
+    assert two["entries"] == [] and (tmp_path / "out" / "NO_DEFINITIONS").is_dir() and not (tmp_path / "out" / "FAILURES").exists()
+
+
+def test_failures_and_names(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "https://x/y/page?q=1", None), ("b", "z/page?q=1", None)], "doc_id string, filename string, gcs_key string")
+    pages = spark.createDataFrame([("a", 0, "words " * 100, 792.0, None, False)], "doc_id string, page_idx int, text string, height double, label string, read_error boolean")
+    spans = spark.createDataFrame([], "doc_id string, page_idx int, block int, line int, span int, text string, x0 double, y0 double, x1 double, y1 double, font string, flags int")
+    payload = pipeline.payloads(docs, pages, spans, ARMY)
+    writers.write_documents(payload, f"{tmp_path}/json")
+    names = sorted(os.listdir(tmp_path / "json"))
+    assert len(names) == 2 and names[1] == "page_q_1.json"
+    failed = spark.createDataFrame([("c.pdf", "cannot open")], "source_pdf string, message string")
+    assert writers.write_reports(payload, f"{tmp_path}/reports", failed) == {"no-defs": 2, "fail": 1}
+    assert [r["value"] for r in spark.read.text(f"{tmp_path}/reports/FAILURES").collect()] == ["c.pdf\tcannot open"]
 
 
 def test_profiles():
