@@ -16,22 +16,27 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+def _without(c: Column, characters: str) -> Column:
+    """How many of these characters there are: what goes when they go, with no array of matches."""
+    return F.length(c) - F.length(F.translate(c, characters, ""))
+
+
 def vowel_ratio(c: Column) -> Column:
     """Plain vowels among letters of any alphabet, 0 for texts of under 100 letters."""
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    return F.when(letters >= 100, F.regexp_count(c, F.lit("[AEIOUaeiou]")) / letters).otherwise(F.lit(0.0))
+    letters = F.length(F.regexp_replace(c, r"\P{L}+", ""))
+    return F.when(letters >= 100, _without(c, "AEIOUaeiou") / letters).otherwise(F.lit(0.0))
 
 
 def control_rate(c: Column) -> Column:
-    return _ratio(F.regexp_count(c, F.lit(r"[\x00-\x08\x0B\x0E-\x1F]")), F.length(c))
+    return _ratio(F.length(c) - F.length(F.regexp_replace(c, r"[\x00-\x08\x0B\x0E-\x1F]+", "")), F.length(c))
 
 
 def replacement_rate(c: Column) -> Column:
-    return _ratio(F.regexp_count(c, F.lit("�")), F.length(c))
+    return _ratio(_without(c, "�"), F.length(c))
 
 
 def newline_rate(c: Column) -> Column:
-    return _ratio(F.regexp_count(c, F.lit("\n")), F.length(c))
+    return _ratio(_without(c, "\n"), F.length(c))
 
 
 def longest_space_run(c: Column) -> Column:
@@ -39,11 +44,11 @@ def longest_space_run(c: Column) -> Column:
 
 
 def sentences_per_thousand(c: Column) -> Column:
-    return _ratio(F.regexp_count(c, F.lit(r"[!.?][\s]")) * 1000, F.length(c))
+    return _ratio((F.length(c) - F.length(F.regexp_replace(c, r"[!.?](?=\s)", ""))) * 1000, F.length(c))
 
 
 def page_breaks(c: Column) -> Column:
-    return F.greatest(F.regexp_count(c, F.lit(PAGE_MARK)), F.regexp_count(c, F.lit("\f")))
+    return F.greatest(F.when(c.contains("--"), F.regexp_count(c, F.lit(PAGE_MARK))).otherwise(F.when(c.isNotNull(), 0)), _without(c, "\f"))
 
 
 def page_slice(c: Column, first: Column, last: Column) -> Column:
