@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import patterns as P
 from .patterns import java
-from .text import rstrip, strip
+from .text import let, rstrip, strip
 
 NOISE = ("CLASSIFIED", "CONFIDENTIAL", "SECRET", "See", "Terms", "This section contains no entries.", "UNCLASSIFIED")
 NOUN_TAIL = P.TAIL_STOP[:-1] + "|if|when)"
@@ -31,16 +31,22 @@ def strip_parentheses(c: Column, times: int = 3) -> Column:
 
 
 def is_noun_phrase(term: Column) -> Column:
-    core = strip_parentheses(term)
-    tokens = F.split(strip(core), java(r"\s+"))
-    tail = F.lower(F.regexp_replace(F.element_at(tokens, -1), "[,.:;]+$", ""))
-    plain = F.length(F.regexp_replace(core, java(r"[^\p{L}\s/-]"), ""))
-    return (strip(core) != "") & (F.size(tokens) <= 10) & ~core.rlike(java(r"\.\s+\S")) & ~tail.rlike(f"^{NOUN_TAIL}$") & (plain / F.length(core) >= 0.85)
+
+    def is_one(core: Column, tokens: Column) -> Column:
+        tail = F.lower(F.regexp_replace(F.element_at(tokens, -1), "[,.:;]+$", ""))
+        plain = F.length(F.regexp_replace(core, java(r"[^\p{L}\s/-]"), ""))
+        return (strip(core) != "") & (F.size(tokens) <= 10) & ~core.rlike(java(r"\.\s+\S")) & ~tail.rlike(f"^{NOUN_TAIL}$") & (plain / F.length(core) >= 0.85)
+
+    return let(strip_parentheses(term), lambda core: let(F.split(strip(core), java(r"\s+")), lambda tokens: is_one(core, tokens)))
 
 
 def classify(term: Column, definition: Column) -> Column:
     """'g' or 'b'; a null term or definition counts as empty."""
-    t, d = (strip(F.coalesce(c, F.lit(""))) for c in (term, definition))
+    both = F.struct(*(strip(F.coalesce(c, F.lit(""))).alias(n) for c, n in ((term, "t"), (definition, "d"))))
+    return let(both, lambda s: _verdict(s["t"], s["d"]))
+
+
+def _verdict(t: Column, d: Column) -> Column:
     lower_pair = t.rlike(java("^[a-z]{2,5}$")) & d.rlike(java("^[a-z][ a-z]{2,49}$"))
     cites = d.rlike(java("^" + P.words("ADP AR ATP FM PAM SD STP TC TM") + r"[\s-]\d"))
     rules: list[tuple[Column, str | Column]] = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,6 +29,11 @@ def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, java(r"\s+\z"), "")
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """use(c), where c is worked out once however often `use` names it: plans of nested cleaning steps stay small."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def squeeze(c: Column) -> Column:
     return F.regexp_replace(c, java(r"\s+"), " ")
 
@@ -57,30 +64,34 @@ def normalize_term(c: Column, unicode_form: bool = True) -> Column:
 
 def fix_ocr_spacing(c: Column) -> Column:
     """'C o o p e r a t e' becomes 'Cooperate': spaces go within runs of five single letters or more."""
-    run = F.lit(java(P.SPACED))
-    pieces = F.arrays_zip(F.split(c, java(P.SPACED), -1).alias("kept"), F.regexp_extract_all(c, run, F.lit(0)).alias("run"))
-    joined = F.array_join(F.transform(pieces, lambda p: F.concat(p["kept"], F.replace(F.coalesce(p["run"], F.lit("")), F.lit(" "), F.lit("")))), "")
-    return F.when(c.rlike(java(P.SPACED)), joined).otherwise(c)
+
+    def fixed(x: Column) -> Column:
+        run = F.lit(java(P.SPACED))
+        pieces = F.arrays_zip(F.split(x, java(P.SPACED), -1).alias("kept"), F.regexp_extract_all(x, run, F.lit(0)).alias("run"))
+        joined = F.array_join(F.transform(pieces, lambda p: F.concat(p["kept"], F.replace(F.coalesce(p["run"], F.lit("")), F.lit(" "), F.lit("")))), "")
+        return F.when(x.rlike(java(P.SPACED)), joined).otherwise(x)
+
+    return let(c, fixed)
 
 
 def strip_citations(c: Column, citation: str) -> Column:
-    out = strip(squeeze(F.regexp_replace(c, java(citation, "i"), " ")))
-    return F.when(out.endswith(" ."), F.concat(F.substring(out, F.lit(1), F.length(out) - 2), F.lit("."))).otherwise(out)
+    return F.regexp_replace(strip(squeeze(F.regexp_replace(c, java(citation, "i"), " "))), r" \.\z", ".")
 
 
 def is_gibberish(c: Column) -> Column:
     """Garbled OCR: long consonant runs, digits within words, an odd first character, few vowels, or a very long word."""
-    clean = F.regexp_replace(c, java(r"[^\w\s]"), "")
-    letters = F.regexp_replace(clean, r"[^\p{L}]", "")
-    vowels = F.length(F.regexp_replace(letters, "[^aeiouAEIOU]", ""))
-    odd = (
-        clean.rlike("[b-df-hj-np-tv-z]{7,}")
-        | clean.rlike(r"[A-Za-z]\p{Nd}[A-Za-z]|\p{Nd}[A-Za-z]{4}")
-        | c.rlike(r"^[$%*@#^~`¥|\[\]{}\\<>]")
-        | ((F.length(letters) > 10) & (vowels / F.length(letters) < 0.12))
-        | c.rlike(java(r"\S{36}"))
-    )
-    return (F.length(c) >= 3) & odd
+
+    def odd(x: Column, clean: Column, letters: Column) -> Column:
+        vowels = F.length(letters) - F.length(F.translate(letters, "aeiouAEIOU", ""))
+        return (F.length(x) >= 3) & (
+            clean.rlike("[b-df-hj-np-tv-z]{7,}")
+            | clean.rlike(r"[A-Za-z]\p{Nd}[A-Za-z]|\p{Nd}[A-Za-z]{4}")
+            | x.rlike(r"^[$%*@#^~`¥|\[\]{}\\<>]")
+            | ((F.length(letters) > 10) & (vowels / F.length(letters) < 0.12))
+            | x.rlike(java(r"\S{36}"))
+        )
+
+    return let(c, lambda x: let(F.regexp_replace(x, java(r"[^\w\s]"), ""), lambda clean: let(F.regexp_replace(clean, r"[^\p{L}]", ""), lambda letters: odd(x, clean, letters))))
 
 
 def is_document_header(line: Column, profile: Profile) -> Column:
@@ -116,9 +127,12 @@ def split_term(line: Column, pattern: str | None = None) -> Column:
 
 def clean_term(c: Column) -> Column:
     """Without marks at the ends, and without one pair of parentheses around it."""
-    out = F.btrim(strip(c), F.lit(":,; "))
-    wrapped = out.startswith("(") & out.endswith(")") & (F.length(out) > 2)
-    return F.when(wrapped, strip(F.substring(out, F.lit(2), F.length(out) - 2))).otherwise(out)
+
+    def bare(out: Column) -> Column:
+        wrapped = out.startswith("(") & out.endswith(")") & (F.length(out) > 2)
+        return F.when(wrapped, strip(F.substring(out, F.lit(2), F.length(out) - 2))).otherwise(out)
+
+    return let(F.btrim(strip(c), F.lit(":,; ")), bare)
 
 
 def strip_asterisks(c: Column) -> Column:

@@ -14,5 +14,7 @@ def dedupe(entries: DataFrame) -> DataFrame:
     """
     same = Window.partitionBy("doc_id", "term_normalized")
     rank = (F.col("source_type") != "glossary", F.coalesce("confidence", F.lit(0.0)).desc(), F.col("pdf_page_index"), F.col("seq"))
-    best = entries.where("term_normalized <> ''").withColumn("rank", F.row_number().over(same.orderBy(*rank))).withColumn("first", F.min("seq").over(same)).where("rank = 1")
+    # By document once, which serves both windows.
+    keyed = entries.where("term_normalized <> ''").repartition("doc_id")
+    best = keyed.withColumn("rank", F.row_number().over(same.orderBy(*rank))).withColumn("first", F.min("seq").over(same)).where("rank = 1")
     return best.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("first"))).drop("rank", "first")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,16 +13,21 @@ from ..functions.patterns import Profile, java
 CONFIDENCE = 0.65
 
 
+def _match(k: int) -> Callable[[Column, Column], Column]:
+    return lambda m, no: F.struct(F.lit(k).alias("pattern"), no.alias("no"), m["term"].alias("term"), m["definition"].alias("definition"))
+
+
 def inline_matches(pages: DataFrame, profile: Profile) -> DataFrame:
     """(doc_id, page_idx, label, pattern, no, page_text, term, definition): every match of every pattern, case as written."""
     fixed = pages.withColumn("page_text", T.fix_ocr_spacing(F.col("text"))).where(F.length("page_text") >= T.MIN_INLINE_PAGE)
-    branches = []
+    found = []
     for k, pattern in enumerate(profile.inline):
         own = F.lit(java(pattern, "m"))
         both = F.arrays_zip(F.regexp_extract_all("page_text", own, F.lit(1)).alias("term"), F.regexp_extract_all("page_text", own, F.lit(2)).alias("definition"))
-        one = fixed.where(F.col("page_text").rlike(java(pattern, "m"))).select("doc_id", "page_idx", "label", F.lit(k).alias("pattern"), "page_text", F.posexplode(both).alias("no", "m"))
-        branches.append(one.select("doc_id", "page_idx", "label", "pattern", "no", "page_text", F.col("m.term").alias("term"), F.col("m.definition").alias("definition")))
-    return reduce(DataFrame.unionByName, branches)
+        found.append(F.transform(both, _match(k)))
+    # The matches of all patterns in one pass over the pages.
+    every = fixed.select("doc_id", "page_idx", "label", "page_text", F.explode(F.flatten(F.array(*found))).alias("m"))
+    return every.select("doc_id", "page_idx", "label", "m.pattern", "m.no", "page_text", "m.term", "m.definition")
 
 
 def inline_entries(pages: DataFrame, profile: Profile, unicode_form: bool = True) -> DataFrame:
