@@ -12,7 +12,7 @@ from .functions.patterns import PROFILES, get_profile
 from .operators import layout
 from .plans import pipeline
 from .sources import pdf, readers, writers
-from .sources.shared import stored
+from .sources.shared import clean, stored
 
 
 def parser() -> argparse.ArgumentParser:
@@ -73,6 +73,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for status, n in sorted(counts.items()):
         print(f"{status}: {n}", file=sys.stderr)
     undecoded = failed is not None and not failed.isEmpty()
+    clean(spark)
     return int(bool(undecoded or (counts.get("fail") and not args.no_validate)))
 
 

@@ -22,6 +22,7 @@ from .operators.dedup import dedupe
 from .operators.inline import inline_entries
 from .plans import pipeline
 from .sources import readers
+from .sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -433,6 +434,11 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe(glossary_of(spark, sf_dir)).withColumnRenamed("doc_id", "pdf")
 
 
+def _stored_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, extracted once for reports that read them several times."""
+    return stored(_entries(spark, sf_dir), "entries")
+
+
 _BEST = "WITH " + duck.entries(DOD)
 
 
@@ -451,7 +457,7 @@ o AS (SELECT pdf, term, min(verdict) AS a FROM v WHERE page_idx = 0 GROUP BY ALL
 SELECT coalesce(o.pdf, n.pdf) AS pdf, 'glossary' AS source_type, coalesce(o.term, n.term) AS term, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a = b THEN 'same' ELSE a || '->' || b END AS change FROM o FULL JOIN n ON o.pdf = n.pdf AND o.term = n.term""")
 def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two snapshots, the first without later pages, the second without first entries and with a stricter rule."""
-    e = _entries(spark, sf_dir)
+    e = _stored_entries(spark, sf_dir)
     old, new = evaluate.verdicts(e.where("pdf_page_index = 1")), evaluate.verdicts(e.where("ord > 1"))
     return evaluate.snapshot_diff(old, new.withColumn("verdict", F.when(F.length("term") > 12, "b").otherwise(F.col("verdict"))))
 
@@ -479,19 +485,19 @@ s AS (SELECT *, tp / (tp + fn) AS r, CASE WHEN had THEN tn / (tn + fp) END AS p,
 SELECT doc_type, 'glossary' AS source_type, CAST(tp AS BIGINT) AS tp, CAST(fn AS BIGINT) AS fn, CAST(fp AS BIGINT) AS fp_explicit, CAST(tn AS BIGINT) AS tp_in_negative_docs, had AS had_negatives, round(r, 3) AS recall, round(p, 3) AS "precision", round(j, 3) AS def_jaccard, r >= mr AND j >= mr AND coalesce(p >= mp, true) AS passed FROM s""")
 def label_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall, precision and definition overlap against labels."""
-    e = _entries(spark, sf_dir)
+    e = _stored_entries(spark, sf_dir)
     return evaluate.scorecard(_labels(e), e)
 
 
 @query(_BEST + _LABELS + " SELECT pdf, term_normalized FROM lab WHERE NOT EXISTS (SELECT 1 FROM best WHERE best.doc_id = lab.pdf AND best.term_normalized = lab.term_normalized)")
 def missing_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _entries(spark, sf_dir)
+    e = _stored_entries(spark, sf_dir)
     return evaluate.missing_labels(_labels(e), e).select("pdf", "term_normalized")
 
 
 @query(_BEST + _LABELS + " SELECT pdf, term_normalized FROM lab WHERE EXISTS (SELECT 1 FROM best WHERE best.doc_id = lab.pdf AND best.term_normalized = lab.term_normalized)")
 def met_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _entries(spark, sf_dir)
+    e = _stored_entries(spark, sf_dir)
     return evaluate.met_labels(_labels(e), e).select("pdf", "term_normalized")
 
 
@@ -502,7 +508,7 @@ g AS (SELECT tier, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE goo
 SELECT CAST(tier AS INTEGER) AS tier, CAST(n AS BIGINT) AS positive_total, CAST(p AS BIGINT) AS positive_present, round(CASE WHEN n > 0 THEN p / n ELSE 1 END, 3) AS positive_recall, CAST(neg AS BIGINT) AS negative_violations, CASE WHEN tier = 1 THEN neg = 0 AND (n = 0 OR p / n >= 0.95) END AS passed FROM g""")
 def tier_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confirmed and automatic labels; every seventh document fell back to the old gate."""
-    e = _entries(spark, sf_dir)
+    e = _stored_entries(spark, sf_dir)
     n = F.col("pdf").cast("bigint")
     good = C.classify(F.col("term"), F.col("definition")) == "g"
     kind = F.when(n % 3 == 0, F.when(good, "tier1_positive_terms").otherwise("negative_labels")).otherwise(F.when(good, "auto_positive_labels").otherwise("auto_negative_labels"))
@@ -522,7 +528,7 @@ def stratification(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT g.pdf, CASE WHEN a.pdf IS NULL THEN 'missing' ELSE 'n' END AS changed FROM g LEFT JOIN a USING (pdf) WHERE (a.pdf IS NULL OR g.n <> a.n) AND NOT coalesce(TRY_CAST(g.pdf AS BIGINT) % 10 = 0, false)""")
 def golden_deviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose result left the recorded one, without the accepted deviations."""
-    a = _entries(spark, sf_dir).groupBy("pdf").agg(F.count("*").alias("n"), F.max("pdf_page_index").alias("last"))
+    a = _stored_entries(spark, sf_dir).groupBy("pdf").agg(F.count("*").alias("n"), F.max("pdf_page_index").alias("last"))
     n = F.expr("try_cast(pdf AS bigint)")
     golden = a.select("pdf", (F.col("n") + F.when(n % 5 == 0, 1).otherwise(0)).alias("n"), "last").union(literal(a.sparkSession, [("gone", 1, 1)], "pdf string, n bigint, last int"))
     found = evaluate.golden_diff(a, golden, golden.where(n % 10 == 0), "pdf", ["n", "last"])

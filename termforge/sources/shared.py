@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,17 +11,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests, and only until Python ends."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = tempfile.mkdtemp(prefix="termforge-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def own_folder(spark: SparkSession) -> str:
+    """What this application keeps in the shared folder."""
+    return f"{folder(spark)}/termforge/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing else has."""
-    return f"{folder(spark)}/termforge/{what}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; what is read from them must have been written by then."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
