@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,18 +19,24 @@ BROADCAST_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests, and only until Python ends."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
         at = tempfile.mkdtemp(prefix="termforge-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """What this application keeps in the shared folder; `drop_path` on it frees all at once, when results have been written."""
+    return f"{shared_dir(spark)}/termforge/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/termforge/{what}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
