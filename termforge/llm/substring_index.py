@@ -9,8 +9,10 @@ and sorted, in the shared folder. Batches come in the order of doc_id. For each
 3. anchors whose windows are all repeated are dropped, the rest becomes a run of level 0;
 4. as soon as `fan_in` runs share a level they are compacted into one of the next.
 
-Any batch size gives the same result; `batches` is how many the query cuts the id range into. So a later load can be
-added at the cost of its own text, plus that of the earlier documents it shares anchors with.
+Any batch size gives the same result; `batches` is how many the query cuts the id range into. An index outlives its session:
+its folder holds the runs, the texts and, after each batch, a new manifest, the last of which `Index.open` goes on from. A
+later load (`append`) costs its own text, a merge-join with the runs, and a scan of the earlier texts for those
+documents that share an anchor with it. A job that dies between two batches leaves the index as the last manifest has it.
 
 Defined cases: null and empty texts, and those of under WORDS words, have no passage; texts are read whole; of equal
 documents the one with the least id is the first; rows that repeat a doc_id don't repeat each other; rows without an id
@@ -19,6 +21,7 @@ are left out; an empty table gives an empty result; only the id and text columns
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from collections.abc import Iterator
@@ -26,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +37,7 @@ from .common import drop_path, ids, keyed, new_path, partitions, small, written
 from .kernels import Powers, chunks, list_array, mix, ragged, space_table, window_hashes
 from .passages import GRAM, RUNS, WORDS, anchor_table, by_document, candidate_windows, positions_of, repeated, repeated_runs, runs_table, spans, words_of
 
+MANIFEST = "manifest-"
 FAN_IN = 2
 BATCHES = 4
 
@@ -47,15 +52,48 @@ class Run:
 @dataclass
 class Index:
     spark: SparkSession
+    folder: str
     fan_in: int = FAN_IN
+    buckets: int = 0
     runs: list[Run] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+    version: int = 0
 
     def __post_init__(self) -> None:
-        self.buckets = partitions(self.spark)
+        self.buckets = self.buckets or partitions(self.spark)
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> Index:
+        """The index as its last manifest in the folder has it; a new one where there is none."""
+        where, at = fs.FileSystem.from_uri(folder)
+        names = [f.base_name for f in where.get_file_info(fs.FileSelector(at, allow_not_found=True))]
+        versions = [int(n.removeprefix(MANIFEST)) for n in names if n.startswith(MANIFEST)]
+        if not versions:
+            return cls(spark, folder)
+        with where.open_input_stream(f"{at}/{MANIFEST}{max(versions)}") as f:
+            kept = json.loads(f.read())
+        index = cls(spark, folder, kept["fan_in"], kept["buckets"], texts=kept["texts"], version=max(versions))
+        for path, level in kept["runs"]:
+            index.runs.append(index.register(path, level))
+        return index
+
+    def register(self, path: str, level: int) -> Run:
+        """A run's files as a table of this session, with its buckets and its order."""
+        run = Run(f"termforge_run_{uuid.uuid4().hex}", path, level)
+        self.spark.sql(f"CREATE TABLE {run.table} (hash BIGINT, doc_id BIGINT, pos INT) USING parquet CLUSTERED BY (hash) SORTED BY (hash, doc_id, pos) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return run
+
+    def commit(self) -> None:
+        """Writes a manifest of what there is now, under a new name."""
+        self.version += 1
+        where, at = fs.FileSystem.from_uri(self.folder)
+        where.create_dir(at)
+        with where.open_output_stream(f"{at}/{MANIFEST}{self.version}") as f:
+            f.write(json.dumps({"fan_in": self.fan_in, "buckets": self.buckets, "texts": self.texts, "runs": [(r.path, r.level) for r in self.runs]}).encode())
 
     def write(self, anchors: DataFrame, level: int = 0) -> Run:
         """An immutable run: a bucket by hash to a task, sorted within."""
-        run = Run(f"termforge_run_{uuid.uuid4().hex}", new_path(self.spark, "run"), level)
+        run = Run(f"termforge_run_{uuid.uuid4().hex}", f"{self.folder}/run-{uuid.uuid4().hex}", level)
         placed = anchors.repartition(self.buckets, "hash").sortWithinPartitions("hash", "doc_id", "pos")
         placed.write.bucketBy(self.buckets, "hash").sortBy("hash", "doc_id", "pos").option("path", run.path).saveAsTable(run.table)
         return run
@@ -71,25 +109,27 @@ class Index:
         """The index's anchors whose hash is among these, run by run."""
         return [self.read(r).join(hashes.hint("merge"), "hash", "left_semi") for r in self.runs]
 
-    def add(self, anchors: DataFrame) -> None:
+    def add(self, anchors: DataFrame) -> list[Run]:
+        """Adds a run and compacts levels that are full; returns the runs that are no longer needed."""
         self.runs.append(self.write(anchors))
+        over: list[Run] = []
         while True:
             levels = [r.level for r in self.runs]
             full = next((n for n in sorted(set(levels)) if levels.count(n) >= self.fan_in), None)
             if full is None:
-                return
+                return over
             old = [r for r in self.runs if r.level == full]
             merged = self.read(old[0])
             for r in old[1:]:
                 merged = merged.union(self.read(r))
             new = self.write(merged, full + 1)
             self.runs = [r for r in self.runs if r.level != full] + [new]
-            for r in old:
-                self.drop(r)
+            over += old
 
     def close(self) -> None:
+        """Takes the tables out of the session's catalog; the files stay."""
         for r in self.runs:
-            self.drop(r)
+            self.spark.sql(f"DROP TABLE IF EXISTS {r.table}")
         self.runs = []
 
 
@@ -156,11 +196,25 @@ def add_batch(index: Index, rows: DataFrame, batch: DataFrame, words: int = WORD
     low = F.greatest(F.col("pos") - (words - gram), F.lit(0))
     covered = F.exists("runs", lambda r: (r.first_start <= low) & (r.last_start >= F.col("pos")))
     kept = own.join(lists, own.doc_id == F.col("d"), "left").where(~F.coalesce(covered, F.lit(False))).select("hash", "doc_id", "pos")
-    index.add(kept)
-    index.drop(new)
+    over = index.add(kept)
+    index.commit()
+    for run in [new, *over]:
+        index.drop(run)
     return found
 
 
+def append(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM) -> DataFrame:
+    """(doc_id, start_word, end_word, first_doc_id) of a later load, against all that the index holds and against itself; the
+    load is indexed. Its ids must be greater than those in the index."""
+    spark = index.spark
+    path = f"{index.folder}/texts-{uuid.uuid4().hex}"
+    keyed(docs, id_col, text_col).write.parquet(path)
+    index.texts.append(path)
+    batch = spark.read.parquet(path)
+    rows = spark.read.schema(batch.schema).parquet(*index.texts)
+    return spans(add_batch(index, rows, batch, words, gram), words)
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_id): every maximal passage that repeats text of an earlier document."""
     rows = keyed(docs, id_col, text_col)
@@ -168,10 +222,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
     found = rows.sparkSession.createDataFrame([], RUNS)
     if low is None:
         return spans(found, words)
-    index = Index(rows.sparkSession)
+    index = Index(rows.sparkSession, new_path(rows.sparkSession, "index"))
     edges = sorted({low + (high + 1 - low) * i // batches for i in range(batches + 1)})
-    for a, b in zip(edges[:-1], edges[1:]):
-        upto = rows.where(F.col("doc_id") < b)
-        found = found.union(add_batch(index, upto, upto.where(F.col("doc_id") >= a), words, gram))
-    index.close()
+    try:
+        for a, b in zip(edges[:-1], edges[1:]):
+            upto = rows.where(F.col("doc_id") < b)
+            found = found.union(add_batch(index, upto, upto.where(F.col("doc_id") >= a), words, gram))
+    finally:
+        # Nothing reads this index again.
+        index.close()
+        drop_path(index.spark, index.folder)
     return spans(found, words)
