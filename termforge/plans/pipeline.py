@@ -65,7 +65,7 @@ def payloads(docs: DataFrame, pages: DataFrame, spans: DataFrame, profile: Profi
     best = dedupe(every).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: F.struct(*(e[n].alias(n) for n in ENTRY))).alias("entries"))
     out = docs.join(layers, "doc_id", "left").join(where, "doc_id", "left").join(fallback, "doc_id", "left").join(counts, "doc_id", "left").join(best, "doc_id", "left")
     none = F.array().cast(best.schema["entries"].dataType)
-    publication = T.publication_number(F.col("filename"), profile)
+    publication = T.publication_number(F.element_at(F.split("filename", "/"), -1), profile)
     pages_of = lambda a, b: F.sequence(F.col(a) + 1, F.col(b) + 1)
     zero, no = F.lit(0).cast("bigint"), F.lit(False)
     metadata = F.struct(

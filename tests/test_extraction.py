@@ -68,7 +68,6 @@ DUMP = {
             {"spans": [{"text": "*Access control", "bbox": [72.0, 228.0, 100.0, 238.0], "font": "Bold", "flags": 16}]},
             {"spans": [{"text": "The process of granting or denying requests.", "bbox": [90.0, 242.0, 300.0, 252.0], "font": "Roman", "flags": 4}]},
         ]}]},
-        {"text": None, "height": 792.0, "label": None, "read_error": True, "blocks": [{"lines": [{"spans": [{"text": "lost", "bbox": [1.0, 2.0, 3.0, 4.0], "font": "x", "flags": 0}]}]}]},
     ],
 }
 
