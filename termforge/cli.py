@@ -12,7 +12,7 @@ from .functions.patterns import PROFILES, get_profile
 from .operators import layout
 from .plans import pipeline
 from .sources import pdf, readers, writers
-from .sources.shared import clean, stored
+from .sources.shared import clean, exists, stored
 
 
 def parser() -> argparse.ArgumentParser:
@@ -34,12 +34,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path of any of Spark's file systems exists."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
     single, batch = bool(args.input and args.output), bool(args.input_dir and args.output_dir)

@@ -115,7 +115,7 @@ def scorecard(labels: DataFrame, entries: DataFrame, thresholds: DataFrame | Non
     whole = F.col("tp_in_negative_docs") + F.col("fp_explicit")
     precision = F.when(F.col("had_negatives"), F.when(whole > 0, F.col("tp_in_negative_docs") / whole).otherwise(F.lit(1.0)))
     passed = (recall >= F.col("min_recall")) & (overlap >= F.col("min_jaccard")) & F.coalesce(precision >= F.col("min_precision"), F.lit(True))
-    return total.join(F.broadcast(thresholds), ["doc_type", "source_type"]).select(
+    return total.join(thresholds, ["doc_type", "source_type"]).select(
         "doc_type", "source_type", "tp", "fn", "fp_explicit", "tp_in_negative_docs", "had_negatives",
         F.round(recall, 3).alias("recall"), F.round(precision, 3).alias("precision"), F.round(overlap, 3).alias("def_jaccard"), passed.alias("passed"),
     )

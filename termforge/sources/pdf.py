@@ -1,4 +1,5 @@
-"""PDF decoding, where the optional pymupdf is installed on the executors. A file that can't be read gives an error, not a failed job."""
+"""PDF decoding, where the optional pymupdf is installed on the executors. A file that can't be read gives an error, not a failed
+job; so does every file where there is no pymupdf."""
 
 from __future__ import annotations
 
@@ -16,12 +17,12 @@ def decode(files: DataFrame) -> DataFrame:
     """Layout dumps of (path, filename, content), with the error of those that can't be decoded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import fitz
-
         for batch in batches:
             rows = []
             for path, filename, content in zip(batch["path"], batch["filename"], batch["content"]):
                 try:
+                    import fitz
+
                     rows.append((path, path, filename, [_page(p) for p in fitz.open(stream=content, filetype="pdf")], None))
                 except Exception as e:  # one document's fault is that document's status
                     rows.append((path, path, filename, [], f"{type(e).__name__}: {e}"))

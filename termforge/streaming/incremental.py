@@ -10,6 +10,7 @@ from ..functions.patterns import Profile
 from ..operators import layout, ranges
 from ..operators.layout import DUMP_SCHEMA
 from ..plans import pipeline
+from ..sources.shared import exists
 
 
 def dumps_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -34,12 +35,8 @@ def start(spark: SparkSession, source: str, target: str, checkpoint: str, profil
 
     def batch(dumps: DataFrame, number: int) -> None:
         own = dumps.sparkSession
-        try:
-            done = own.read.parquet(target).where(F.col("batch") != number)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            done = None
+        # Of what is there three columns are read, and none of this batch's own partition.
+        done = own.read.parquet(target).where(F.col("batch") != number) if exists(own, target) else None
         extract_new(dumps, done, profile).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return dumps_stream(spark, source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

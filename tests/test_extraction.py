@@ -101,5 +101,29 @@ def test_failures_and_names(spark, tmp_path):
     assert [r["value"] for r in spark.read.text(f"{tmp_path}/reports/FAILURES").collect()] == ["c.pdf\tcannot open"]
 
 
+def test_pdfs_that_cannot_be_decoded(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(b"no PDF at all")
+    assert cli.main(["--input-dir", str(tmp_path / "in"), "--output-dir", str(tmp_path / "out"), "--workers", "2"], spark) == 1
+    lines = [r["value"].split("\t") for r in spark.read.text(f"{tmp_path}/out/FAILURES").collect()]
+    assert [x[0] for x in lines] == ["a.pdf"] and lines[0][1]
+
+
+def test_stream_takes_each_text_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.json").write_text(json.dumps(DUMP) + "\n")
+
+    def run():
+        incremental.start(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", ARMY).awaitTermination(300)
+        rows = spark.read.parquet(f"{tmp_path}/out")
+        return sorted((r["source_doc_id"], r["n"]) for r in rows.select("source_doc_id", F.size("entries").alias("n")).collect())
+
+    assert run() == [("d1", 2)]
+    # Equal text under another id is not extracted again, another text is.
+    other = DUMP | {"doc_id": "d3", "pages": [DUMP["pages"][1]]}
+    (tmp_path / "in" / "2.json").write_text(json.dumps(DUMP | {"doc_id": "d2"}) + "\n" + json.dumps(other) + "\n")
+    assert run() == [("d1", 2), ("d3", 2)]
+
+
 def test_profiles():
     assert get_profile("army").name == "army"
