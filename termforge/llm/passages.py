@@ -7,6 +7,10 @@ they don't repeat each other.
 
 Anchors make the search cheap without missing anything: the least hash among a window's GRAM-word grams is an anchor of
 every document that holds the window. A window whose least gram is no anchor of another document is not repeated.
+
+Windows meet by the least gram, their owner. An owner with over HOT anchors would fill a task by itself, as where one passage is in a
+third of all documents, so its windows take another way, `hot_runs`: the least document of each window is aggregated before the
+exchange, and joined back to windows that stay spread.
 """
 
 from __future__ import annotations
@@ -19,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids
-from .kernels import Powers, anchors, chunks, sliding, space_table, tidy, utf8, window_hashes, window_valid, word_hashes, word_spans
+from .common import ids, small, written
+from .kernels import Powers, anchors, chunks, mix, ragged, sliding, space_table, tidy, utf8, window_hashes, window_valid, word_hashes, word_spans
 
 WORDS = 50
 GRAM = 12
+HOT = 4096
 
 
 @dataclass
@@ -83,8 +88,8 @@ def candidate_windows(w: Words, positions: list[np.ndarray], words: int, gram: i
     return text[head], at[head], np.diff(np.append(head, len(at))), owner[at[head]]
 
 
-def positions_of(batch: pa.RecordBatch, row: int, n: int) -> list[np.ndarray]:
-    lists = batch.column("positions").slice(row, n)
+def positions_of(batch: pa.RecordBatch, row: int, n: int, name: str = "positions") -> list[np.ndarray]:
+    lists = batch.column(name).slice(row, n)
     return [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64) if x.is_valid else np.zeros(0, np.int64) for x in lists]
 
 
@@ -127,12 +132,58 @@ def spans(runs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def repeated(anchors_: DataFrame) -> DataFrame:
-    """Hashes that are anchors of two documents or more."""
-    return anchors_.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash")
+    """(hash, n): hashes that are anchors of two documents or more, and of how many places."""
+    return anchors_.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("hash", "n")
 
 
 def by_document(anchors_: DataFrame) -> DataFrame:
-    return anchors_.groupBy("doc_id").agg(F.collect_set("pos").alias("positions"))
+    """(doc_id, positions, hot_positions) of (hash, doc_id, pos, hot)."""
+    hot = F.col("hot")
+    return anchors_.groupBy("doc_id").agg(F.collect_set(F.when(~hot, F.col("pos"))).alias("positions"), F.collect_set(F.when(hot, F.col("pos"))).alias("hot_positions"))
+
+
+def n_positions(wanted: DataFrame) -> tuple[int, int]:
+    """How many anchors there are of owners that aren't hot, and of those that are."""
+    n, n_hot = wanted.agg(F.sum(F.size("positions")), F.sum(F.size("hot_positions"))).first()
+    return n or 0, n_hot or 0
+
+
+def with_positions(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The rows of documents that have such anchors."""
+    return rows.join(small(wanted.select("doc_id", name).where(F.size(name) > 0)), "doc_id")
+
+
+def window_keys(w: Words, places: np.ndarray, words: int, power: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the words of the windows at these places, as two halves."""
+    first, second = (window_hashes(w.hashes if k == 0 else mix(w.hashes + np.uint64(0x2545F4914F6CDD1D)), words, power, bool(k))[places].view(np.int64) for k in range(2))
+    return first, second
+
+
+def hot_runs(rows: DataFrame, wanted: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
+    """Runs of the repeated windows of hot owners, compared over all their words by 128 bits; a window in any number of
+    documents leaves each task once in the aggregate, and the join back may split it, since it looks up one row."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power, table = Powers(), space_table()
+        for b in batches:
+            doc_ids = ids(b)
+            for row, part in chunks(b.column("text")):
+                w = words_of(part, power, table)
+                text, start, count, _ = candidate_windows(w, positions_of(b, row, len(part), "hot_positions"), words, gram, power)
+                if not len(text):
+                    continue
+                places = ragged(start, count)
+                first, second = window_keys(w, places, words, power)
+                own = np.repeat(text, count)
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(doc_ids[row + own]), pa.array((places - w.first[own]).astype(np.int32))], names=["first", "second", "doc_id", "start"])
+
+    windows = written(with_positions(rows, wanted, "hot_positions").mapInArrow(tidy(send), "first bigint, second bigint, doc_id bigint, start int"), "hot-windows")
+    least = windows.groupBy("first", "second").agg(F.min("doc_id").alias("first_doc_id"), F.max("doc_id").alias("high")).where("first_doc_id < high").drop("high")
+    late = windows.join(small(written(least, "hot-least")), ["first", "second"]).where("doc_id > first_doc_id")
+    order = Window.partitionBy("doc_id").orderBy("start")
+    marked = late.withColumn("new", F.when(F.col("start") - F.lag("start").over(order) <= 1, 0).otherwise(1))
+    numbered = marked.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("doc_id", "island").agg(F.min("start").alias("first_start"), F.max("start").alias("last_start"), F.min("first_doc_id").alias("first_doc_id")).drop("island")
 
 
 def cut(texts: pa.Array, starts: list[list[int]], ends: list[list[int]]) -> list[str]:

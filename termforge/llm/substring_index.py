@@ -5,7 +5,7 @@ and sorted, in the shared folder. Batches come in the order of doc_id. For each
 
 1. its anchors are written as a run, and merge-joined with every run of the index (equal buckets, so no exchange);
 2. candidates are verified: for the documents that hold a shared anchor, whole windows are read again and compared by a
-   128-bit hash of all their words;
+   128-bit hash of all their words; owners of over HOT anchors take the way of `passages.hot_runs`;
 3. anchors whose windows are all repeated are dropped, the rest becomes a run of level 0;
 4. as soon as `fan_in` runs share a level they are compacted into one of the next.
 
@@ -34,8 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_path, ids, keyed, new_path, partitions, small, written
-from .kernels import Powers, chunks, list_array, mix, ragged, space_table, window_hashes
-from .passages import GRAM, RUNS, WORDS, anchor_table, by_document, candidate_windows, positions_of, repeated, repeated_runs, runs_table, spans, words_of
+from .kernels import Powers, chunks, list_array, mix, ragged, space_table
+from .passages import GRAM, HOT, RUNS, WORDS, anchor_table, by_document, candidate_windows, hot_runs, n_positions, positions_of, repeated, repeated_runs, runs_table, spans, window_keys, with_positions, words_of
 
 MANIFEST = "manifest-"
 FAN_IN = 2
@@ -134,8 +134,8 @@ class Index:
 
 
 def verified(rows: DataFrame, wanted: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
-    """Runs of repeated windows among the documents of `wanted` (doc_id, positions), compared over all their words."""
-    n_anchors = wanted.agg(F.sum(F.size("positions"))).first()[0] or 0
+    """Runs of repeated windows among the documents of `wanted`, see `passages.by_document`, compared over all their words."""
+    n_anchors, n_hot = n_positions(wanted)
     buckets = max(partitions(rows.sparkSession), math.ceil(n_anchors * 20 / 500_000))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +154,7 @@ def verified(rows: DataFrame, wanted: DataFrame, words: int = WORDS, gram: int =
                 cuts = np.append(at, len(bucket))
                 inner = np.append(0, np.cumsum(count))[cuts]
                 places = ragged(start, count)
-                first, second = (window_hashes(w.hashes if k == 0 else mix(w.hashes + np.uint64(0x2545F4914F6CDD1D)), words, power, bool(k))[places].view(np.int64) for k in range(2))
+                first, second = window_keys(w, places, words, power)
                 lists = [list_array(v, cuts) for v in (doc_ids[row + text], (start - w.first[text]).astype(np.int32), count.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), *lists, list_array(first, inner), list_array(second, inner)], names=["bucket", "docs", "starts", "counts", "first", "second"])
 
@@ -169,10 +169,11 @@ def verified(rows: DataFrame, wanted: DataFrame, words: int = WORDS, gram: int =
         return runs_table(*repeated_runs(key, np.repeat(doc, count), ragged(start.astype(np.int64), count)))
 
     kinds = "bucket int, docs array<bigint>, starts array<int>, counts array<int>, first array<bigint>, second array<bigint>"
-    return rows.join(small(wanted), "doc_id").mapInArrow(send, kinds).groupBy("bucket").applyInArrow(search, RUNS)
+    runs = with_positions(rows, wanted, "positions").mapInArrow(send, kinds).groupBy("bucket").applyInArrow(search, RUNS)
+    return runs.unionByName(hot_runs(rows, wanted, words, gram)) if n_hot else runs
 
 
-def add_batch(index: Index, rows: DataFrame, batch: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
+def add_batch(index: Index, rows: DataFrame, batch: DataFrame, words: int = WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """Runs of the windows of `batch` that repeat the index or an earlier document of the batch; the rest is indexed.
 
     rows holds the texts of the batch and of all documents in the index.
@@ -181,14 +182,16 @@ def add_batch(index: Index, rows: DataFrame, batch: DataFrame, words: int = WORD
     own = index.read(new)
     hashes = own.select("hash").distinct()
     old = index.matches(hashes)
-    known = repeated(own)
+    known = repeated(own).select("hash")
     for m in old:
         known = known.union(m.select("hash"))
     known = written(known.distinct(), "known")
     held = own.join(small(known), "hash", "left_semi")
     for m in old:
         held = held.union(m)
-    wanted = written(by_document(held), "positions")
+    held = written(held, "held")
+    many = small(written(held.groupBy("hash").count().where(F.col("count") > hot).select("hash", F.lit(True).alias("many")), "hot"))
+    wanted = written(by_document(held.join(many, "hash", "left").withColumn("hot", F.coalesce("many", F.lit(False)))), "positions")
     edge = own.agg(F.min("doc_id")).first()[0]
     found = written(verified(rows, wanted, words, gram).where(F.col("doc_id") >= (edge if edge is not None else 0)), "runs")
     # An anchor stays unless every window that holds it is repeated: starts pos - (words - gram) .. pos, as far as there are any.
@@ -203,7 +206,7 @@ def add_batch(index: Index, rows: DataFrame, batch: DataFrame, words: int = WORD
     return found
 
 
-def append(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM) -> DataFrame:
+def append(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_id) of a later load, against all that the index holds and against itself; the
     load is indexed. Its ids must be greater than those in the index."""
     spark = index.spark
@@ -212,10 +215,10 @@ def append(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str
     index.texts.append(path)
     batch = spark.read.parquet(path)
     rows = spark.read.schema(batch.schema).parquet(*index.texts)
-    return spans(add_batch(index, rows, batch, words, gram), words)
+    return spans(add_batch(index, rows, batch, words, gram, hot), words)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, words: int = WORDS, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = BATCHES, words: int = WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_id): every maximal passage that repeats text of an earlier document."""
     rows = keyed(docs, id_col, text_col)
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -227,7 +230,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bat
     try:
         for a, b in zip(edges[:-1], edges[1:]):
             upto = rows.where(F.col("doc_id") < b)
-            found = found.union(add_batch(index, upto, upto.where(F.col("doc_id") >= a), words, gram))
+            found = found.union(add_batch(index, upto, upto.where(F.col("doc_id") >= a), words, gram, hot))
     finally:
         # Nothing reads this index again.
         index.close()

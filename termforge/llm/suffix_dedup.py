@@ -9,6 +9,7 @@
    sequence of phrase ranks is the parse, whose suffixes are sorted as well. A position's order is the rank of what is
    left of its phrase, then the rank of the parse after that phrase.
 4. Neighbours in that order that share WORDS words, compared word by word, hold equal windows.
+5. Owners of over HOT anchors get into no bucket, see `passages.hot_runs`.
 
 Defined cases: null and empty texts, and those of under WORDS words, have no passage; texts are read whole; of equal
 documents the one with the least id keeps its text; rows that repeat a doc_id don't repeat each other; rows without an
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, ids, keyed, partitions, row_keyed, small, written
 from .kernels import Powers, chunks, mix, ragged, release, space_table, tidy, window_hashes
-from .passages import GRAM, RUNS, WORDS, anchor_table, by_document, candidate_windows, cut, positions_of, repeated, repeated_runs, runs_table, spans, words_of
+from .passages import GRAM, HOT, RUNS, WORDS, anchor_table, by_document, candidate_windows, cut, hot_runs, n_positions, positions_of, repeated, repeated_runs, runs_table, spans, with_positions, words_of
 
 TRIGGER = 4
 PERIOD = 8
@@ -119,14 +120,14 @@ def equal_windows(text: np.ndarray, sizes: np.ndarray, places: np.ndarray, words
     return out
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_id): every maximal passage that repeats text of an earlier document."""
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     found = written(anchor_table(rows, words, gram), "anchors")
     shared = small(written(repeated(found), "repeated"))
-    wanted = written(by_document(found.join(shared, "hash", "left_semi")), "positions")
-    n_anchors = wanted.agg(F.sum(F.size("positions"))).first()[0] or 0
+    wanted = written(by_document(found.join(shared, "hash").withColumn("hot", F.col("n") > hot)), "positions")
+    n_anchors, n_hot = n_positions(wanted)
     buckets = max(partitions(spark), math.ceil(n_anchors * 70 / 750_000))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +160,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
         release()
         return runs
 
-    blocks = rows.join(small(wanted), "doc_id").mapInArrow(tidy(send), "bucket int, docs array<bigint>, starts array<int>, counts array<int>, symbols array<bigint>")
-    return spans(blocks.groupBy("bucket").applyInArrow(search, RUNS), words)
+    blocks = with_positions(rows, wanted, "positions").mapInArrow(tidy(send), "bucket int, docs array<bigint>, starts array<int>, counts array<int>, symbols array<bigint>")
+    runs = blocks.groupBy("bucket").applyInArrow(search, RUNS)
+    return spans(runs.unionByName(hot_runs(rows, wanted, words, gram)) if n_hot else runs, words)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", words: int = WORDS) -> DataFrame:
