@@ -1,20 +1,28 @@
 """Every document of a corpus scored by n-grams of any length, each word against the corpus without its own occurrence.
 
 C(i, m) is how often the m words that end at place i occur in the corpus, and F(i, m) how often before another word of their
-document; both fall with m. They are asked for at m = 1, 2, 3, 4, 8, 16, ... as long as C is 2 or more, and then, between two lengths
-at which they differ, by halving; between equal ones they are constant. All places that hold an n-gram come to the same
-lengths, so each question reaches every occurrence; lengths that reach over the start of a document count 0. So a place costs a few questions for each change of
-its counts, and not one for each length, and there is no greatest n.
+document; both fall with m. Lengths 1 to DENSE are asked for at each place whose parts occur twice. Beyond, two facts leave few
+questions, and no greatest length:
+
+- If all occurrences of the DENSE - 1 words that end at i are followed by the same word, F(i, m) = C(i, m) = C(i + 1, m + 1) from
+  there on. So a run of such places has one table of counts, that of its last place. That is seen from the counts of lengths
+  DENSE - 1 and DENSE, and is a property of the words, so all occurrences of a run's end are ends.
+- If all occurrences of DENSE - 1 words are preceded by the same word, no count changes when a context that begins with them
+  takes in that word. So only the other places, its *branches*, are candidates for a change.
 
 1. Each task cuts its part of the corpus into shards of about SHARD_BYTES, which are written once, as word hashes, to the
    shared folder, with the questions that are open.
-2. In a round, each shard sends its questions, equal ones once with their number, to buckets by range of the n-gram's hash;
-   a bucket sums them and answers those that occur twice or more. A frequent n-gram is one entry for each shard.
+2. In a round, each shard sends the hashes it asks about to buckets by range of hash; a bucket sums them and answers in the
+   order of the question, so no hash is sent back. After DENSE rounds, an end of a run asks about a few branches at once, further
+   and further to the left until its words are unique, and then, between two that differ, about up to SPLIT more.
 3. When nothing is open, each shard scores its own documents from its answers:
 
     p_n = (C(i, n + 1) - 1 + ALPHA * p_{n-1}) / (F(i - 1, n) - 1 + ALPHA)   for n = 1, 2, ... while F(i - 1, n) > 1
     p_0 = (C(i, 1) - 1 + ALPHA / N) / (N - 1 + ALPHA)                       in a corpus of N words
 
+   A step keeps at most ALPHA / (1 + ALPHA) of what was before it. So while the word is seen, the last lengths alone decide, as
+   far as a double can hold (`reach`); once it is unseen, only factors follow, of which sums of logarithms are kept.
+
 Defined cases: only the place itself is left out, so other places of the same document and equal rows count; each row is
 scored, also those that repeat an id or have none; a null text has null scores; a text without a word has 0 words, log2
 probability 0 and null averages; the only word of a corpus has probability 1; an empty table gives an empty result; words
@@ -42,12 +50,15 @@ from .passages import words_of
 
 _BASE = 0xD6E8FEB86659FD93
 SHARD_BYTES = 4 << 20
-SINGLE = 4
+DENSE = 4
+SPLIT = 7
 ENTRIES = 750_000
-STATE = "shard string, answers array<string>, questions string, open bigint, n_words bigint"
-LISTS = "shard string, hashes array<bigint>, found array<bigint>, followed array<bigint>"
+STATE = "shard string, answers array<string>, runs string, questions string, open bigint, n_words bigint"
+STATE_ARROW = pa.schema([("shard", pa.string()), ("answers", pa.list_(pa.string())), ("runs", pa.string()), ("questions", pa.string()), ("open", pa.int64()), ("n_words", pa.int64())])
+LISTS = "shard string, bucket int, hashes binary, found binary, followed binary"
+COUNTS = "shard string, bucket int, found binary, followed binary"
 SCORES = "doc_id bigint, n_words int, log2_probability double, mean_context double"
-QUESTION = ("place", "a", "found_a", "followed_a", "b", "found_b", "followed_b", "unique")
+QUESTION = ("run", "a", "found_a", "followed_a", "b", "found_b", "followed_b")
 
 
 def packed(values: np.ndarray) -> np.ndarray:
@@ -77,19 +88,16 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
     return {k: v.astype(np.int64) if v.dtype.kind == "i" else v for k, v in out.items()}
 
 
-def save_places(folder: str, place: np.ndarray, **arrays: np.ndarray) -> str:
-    """As save; what belongs to places goes in their order, so that their differences are small."""
-    order = np.argsort(place, kind="stable")
-    return save(folder, place=np.diff(place[order], prepend=0), **{k: v[order] for k, v in arrays.items()})
-
-
-def load_places(folder: str, name: str) -> dict[str, np.ndarray]:
-    kept = load(folder, name)
-    return kept | {"place": np.cumsum(kept["place"])}
+def to_bytes(values: np.ndarray) -> bytes:
+    """Integers in the fewest bytes that hold them all, after one that says how many; nothing for none but ones."""
+    if len(values) and values.min() == values.max() == 1:
+        return b""
+    values = packed(values)
+    return bytes([values.dtype.itemsize]) + values.tobytes()
 
 
-def flat_lists(table: pa.Table, name: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in table.column(name).chunks)])
+def from_bytes(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"i{data[0]}", offset=1).astype(np.int64) if data else np.ones(n, np.int64)
 
 
 class Shard:
@@ -109,47 +117,115 @@ class Shard:
         self.total = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * up, out=self.total[1:])
 
-    def questions(self, folder: str, name: str) -> dict[str, np.ndarray]:
-        """Open intervals of lengths, from a to b, or from a on where b is 0; those that are unique need no other shard."""
-        if name:
-            return load_places(folder, name)
-        n = len(self.at)
-        return {k: np.arange(n) if k == "place" else np.zeros(n, np.int64) for k in QUESTION}
-
     def hashes(self, place: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Hash of the words that end at each place."""
         begin = place + 1 - length
-        return mix(mix((self.total[place + 1] - self.total[begin]) * self.down[begin]) + length.astype(np.uint64)).view(np.int64)
-
-
-def asked(q: dict[str, np.ndarray]) -> np.ndarray:
-    return np.where(q["b"] > 0, (q["a"] + q["b"]) // 2, following(q["a"]))
-
-
-def following(m: np.ndarray) -> np.ndarray:
-    """The next length to ask for: by one at first, where most n-grams turn out to be unique, then by doubling."""
-    return np.where(m < SINGLE, m + 1, 2 * m)
-
-
-def narrowed(q: dict[str, np.ndarray], m: np.ndarray, found: np.ndarray, followed: np.ndarray, n_places: int) -> dict[str, np.ndarray]:
+        return mix(mix((self.total[place + 1] - self.total[begin]) * self.down[begin]) + length.astype(np.uint64))
+
+    def level(self, folder: str, names: list[str], m: int) -> tuple[np.ndarray, np.ndarray]:
+        """C and F of all places at a length up to DENSE; what occurs once is counted as such."""
+        if m > len(names):
+            return np.ones(len(self.at), np.int64), self.followed.astype(np.int64)
+        kept = load(folder, names[m - 1])
+        return (kept["found"][self.code], kept["followed"][self.code]) if m == 1 else (kept["found"], kept["followed"])
+
+
+def askers(s: Shard, found: np.ndarray, m: int) -> np.ndarray:
+    """Places to ask for at length m, from the counts of length m - 1: an n-gram of which a part occurs once occurs once."""
+    twice = found > 1
+    some = twice & (s.at >= m - 1)
+    some[1:] &= twice[:-1]
+    return np.flatnonzero(some)
+
+
+class Runs:
+    """Ends of runs of places, and the branches to the left of each, as far as all parts of DENSE words occur twice."""
+
+    def __init__(self, kept: dict[str, np.ndarray]) -> None:
+        self.kept = kept
+        self.end, self.start, self.branch = (np.cumsum(kept[k]) for k in ("end", "start", "branch"))
+        self.base = np.searchsorted(self.branch, self.end)
+        self.branches = self.base - np.searchsorted(self.branch, self.start)
+
+    @classmethod
+    def of(cls, s: Shard, before: np.ndarray, found: np.ndarray) -> Runs:
+        """From C at lengths DENSE - 1 and DENSE."""
+        twice, at = found > 1, np.arange(len(found))
+        inner = np.zeros(len(found), bool)
+        inner[:-1] = twice[1:] & (found[1:] == before[:-1])
+        end = np.flatnonzero(twice & ~inner)
+        first = twice.copy()
+        first[1:] &= ~twice[:-1]
+        start = np.maximum.accumulate(np.where(first, at, 0))[end]
+        return cls({"end": np.diff(end, prepend=0), "start": np.diff(start, prepend=0), "branch": np.diff(np.flatnonzero(twice & (found < before)), prepend=0)})
+
+    def length(self, run: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Words from the k-th branch to a run's end; with one more than there are branches, words that hold a unique part."""
+        at = np.append(self.branch, 0)[np.maximum(self.base[run] - k, 0)]
+        at = np.where(k > self.branches[run], self.start[run] - 1, at)
+        return self.end[run] - np.where(k == 0, self.end[run], at) + DENSE
+
+
+def probes(q: dict[str, np.ndarray], branches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(question, branch) of all that is asked in a round, in order; b is 0 where an interval has no end yet."""
+    a, gap, end = q["a"][:, None], (q["b"] - q["a"])[:, None], branches[q["run"]][:, None]
+    inside = np.minimum(np.maximum(gap - 1, 0), SPLIT)
+    j = np.arange(1, SPLIT + 1)
+    at = np.where(j <= inside, a + j * gap // (inside + 1), 0)
+    further = np.where(a == 0, np.array([1, 2, 3, 4, 6, 8, 0][:SPLIT]), a * np.array([3, 4, 6, 8, 0, 0, 0][:SPLIT]) // 2)
+    at = np.where(q["b"][:, None] > 0, at, np.minimum(further, end))
+    which, column = np.nonzero(at > np.maximum.accumulate(np.concatenate([a, at[:, :-1]], axis=1), axis=1))
+    return which, at[which, column]
+
+
+def narrowed(q: dict[str, np.ndarray], which: np.ndarray, at: np.ndarray, found: np.ndarray, followed: np.ndarray, branches: np.ndarray) -> dict[str, np.ndarray]:
     """The questions that these answers leave open."""
-    on, zero = q["b"] == 0, np.zeros(len(m), np.int64)
-    # An n-gram of which a part occurs once occurs once. All that is asked on from a has the same a in a round.
-    held, held_a = np.zeros(n_places, bool), np.zeros(n_places, bool)
-    held[q["place"][on & (found > 1)]] = True
-    held_a[q["place"][on]] = True
-    alone = (~held[np.maximum(q["place"] - (following(m) - m), 0)]).astype(np.int64)
-    alone_half = (on & ~held_a[np.maximum(q["place"] - ((q["a"] + m) // 2 - q["a"]), 0)]).astype(np.int64)
-    below = ((q["found_a"] != found) | (q["followed_a"] != followed)) & (m - q["a"] > 1)
-    above = ~on & (found > 1) & ((q["found_b"] != found) | (q["followed_b"] != followed)) & (q["b"] - m > 1)
-    further = on & (found > 1)
-    here = (m, found, followed)
-    low, high = tuple(q[k] for k in QUESTION[1:4]), tuple(q[k] for k in QUESTION[4:7])
-    parts = [(below, low, (*here, alone_half)), (above, here, (*high, zero)), (further, here, (zero, zero, zero, alone))]
-    rows = [[x[some] for x in (q["place"], *first, *second)] for some, first, second in parts]
+    first, last = np.ones(len(which), bool), np.ones(len(which), bool)
+    first[1:] = last[:-1] = which[1:] != which[:-1]
+    here = (at, found, followed)
+    low = tuple(np.where(first, q[k][which], np.append(0, x[:-1])) for k, x in zip(QUESTION[1:4], here))
+    high = tuple(q[k][which] for k in QUESTION[4:])
+    zero = np.zeros(len(which), np.int64)
+
+    def differ(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
+        return (y[0] - x[0] > 1) & (x[1] > 1) & ((x[1] != y[1]) | (x[2] != y[2]))
+
+    on = last & (high[0] == 0) & (found > 1) & (at < branches[q["run"][which]])
+    parts = [(differ(low, here), low, here), (last & (high[0] > 0) & differ(here, high), here, high), (on, here, (zero, zero, zero))]
+    rows = [[x[some] for x in (q["run"][which], *one, *two)] for some, one, two in parts]
     return {k: np.concatenate(x) for k, x in zip(QUESTION, zip(*rows))}
 
 
+def asked(s: Shard, folder: str, before: str, r: dict, turn: int) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """(place, length) of what a shard asks in a round after the first, and the questions behind it."""
+    if turn < DENSE:
+        place = askers(s, s.level(folder, r["answers"], turn)[0], turn + 1)
+        return place, np.full(len(place), turn + 1), ()
+    runs, q = Runs(load(folder, r["runs"])), load(before, r["questions"])
+    which, at = probes(q, runs.branches)
+    run = q["run"][which]
+    return runs.end[run], runs.length(run, at), (runs, q, which, at)
+
+
+def sent(s: Shard, place: np.ndarray, m: np.ndarray, turn: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """(bucket, hash, occurrences, those before another word) in the order of buckets, and where each question is in it."""
+    if turn == 0:
+        hashes, which = s.word.view(np.uint64), s.code
+    elif turn == 1:
+        hashes, which = np.unique(s.hashes(place, m), return_inverse=True)
+        which = which.reshape(-1)
+    else:
+        hashes = s.hashes(place, m)
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+    if turn < 2:
+        # Few hashes for many places; they are in order, and so are ranges of them.
+        return bucket, hashes, np.bincount(which, minlength=len(hashes)), np.bincount(which, s.followed[place], len(hashes)).astype(np.int64), which
+    order = np.argsort(bucket, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return bucket[order], hashes[order], np.ones(len(order), np.int64), s.followed[place[order]].astype(np.int64), back
+
+
 def shards(rows: DataFrame, folder: str, shard_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power, table = Powers(), space_table()
@@ -161,135 +237,178 @@ def shards(rows: DataFrame, folder: str, shard_bytes: int) -> DataFrame:
                 word, code = np.unique(w.hashes, return_inverse=True)
                 own = slice(row, row + len(part))
                 name = save(folder, doc_id=doc_id[own], has_id=has_id[own], has_text=has_text[own], n_words=np.diff(w.first), word=word.view(np.int64), code=code.reshape(-1).astype(np.int64))
-                yield pa.RecordBatch.from_pylist([{"shard": name, "answers": [], "questions": "", "open": len(w.hashes), "n_words": len(w.hashes)}], schema=pa.schema([("shard", pa.string()), ("answers", pa.list_(pa.string())), ("questions", pa.string()), ("open", pa.int64()), ("n_words", pa.int64())]))
+                yield pa.RecordBatch.from_pylist([{"shard": name, "answers": [], "runs": "", "questions": "", "open": len(word), "n_words": len(w.hashes)}], schema=STATE_ARROW)
 
     return rows.mapInArrow(tidy(run), STATE)
 
 
-def ask(state: DataFrame, before: str, folder: str, buckets: int) -> DataFrame:
-    """Each shard's open questions by bucket: (hash, occurrences in the shard, those before another word)."""
+def ask(state: DataFrame, before: str, folder: str, turn: int, buckets: int) -> DataFrame:
+    """Each shard's open questions by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.select(["shard", "questions"]).to_pylist():
+            for r in b.to_pylist():
                 s = Shard(folder, r["shard"])
-                q = s.questions(before, r["questions"])
-                m = asked(q)
-                real = (m <= s.at[q["place"]] + 1) & (q["unique"] == 0)
-                place, m = q["place"][real], m[real]
-                if not len(m):
-                    continue
-                hashes, which, found = np.unique(s.hashes(place, m), return_inverse=True, return_counts=True)
-                followed = np.bincount(which.reshape(-1), s.followed[place], len(hashes)).astype(np.int64)
-                # Hashes are in order, and so are ranges of them.
-                bucket = ((hashes.astype(np.float64) / 2.0**64 + 0.5) * buckets).astype(np.int64).clip(0, buckets - 1)
+                place, m = asked(s, folder, before, r, turn)[:2] if turn else (np.arange(len(s.at)), None)
+                bucket, hashes, found, followed, _ = sent(s, place, m, turn, buckets)
                 keys, at = np.unique(bucket, return_index=True)
-                cuts = np.append(at, len(bucket))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array([r["shard"]] * len(keys), pa.string()), *(list_array(x, cuts) for x in (hashes, found.astype(np.int64), followed))], names=["bucket", "shard", "hashes", "found", "followed"])
+                cuts = [*at.tolist(), len(bucket)]
+                parts = [slice(i, j) for i, j in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * len(keys), pa.string()), pa.array(keys.astype(np.int32)), pa.array([hashes[p].tobytes() for p in parts], pa.binary()), *(pa.array([to_bytes(x[p]) for p in parts], pa.binary()) for x in (found, followed))], names=["shard", "bucket", "hashes", "found", "followed"])
 
-    return state.mapInArrow(tidy(run), f"bucket int, {LISTS}")
+    return state.mapInArrow(tidy(run), LISTS)
 
 
 def summed(table: pa.Table) -> pa.Table:
-    """Sums over the shards, to each shard that asked; n-grams that occur once are left out."""
-    hashes, which = np.unique(flat_lists(table, "hashes"), return_inverse=True)
-    which = which.reshape(-1)
-    found, followed = (np.bincount(which, flat_lists(table, k), len(hashes)).astype(np.int64) for k in ("found", "followed"))
-    sizes = np.concatenate([c.value_lengths().to_numpy() for c in table.column("hashes").chunks])
-    more = found[which] > 1
-    cuts = np.append(0, np.cumsum(more))[np.append(0, np.cumsum(sizes))]
-    which = which[more]
-    return pa.table([table.column("shard").combine_chunks(), *(list_array(x[which], cuts) for x in (hashes, found, followed))], names=["shard", "hashes", "found", "followed"])
-
-
-def taker(folder: str, before: str, after: str, turn: int):
+    """Sums over the shards, in the order in which each asked."""
+    rows = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    cuts = np.cumsum([len(x) for x in rows]).tolist()
+    hashes, which = np.unique(np.concatenate(rows), return_inverse=True)
+    which, out = which.reshape(-1), []
+    for k in ("found", "followed"):
+        given = np.concatenate([from_bytes(x, len(row)) for x, row in zip(table.column(k).to_pylist(), rows)])
+        sums = packed(np.bincount(which, given, len(hashes)).astype(np.int64))[which].astype(np.int64)
+        out.append(pa.array([to_bytes(sums[i:j]) for i, j in zip([0, *cuts], cuts)], pa.binary()))
+    return pa.table([table.column("shard"), table.column("bucket"), *out], names=["shard", "bucket", "found", "followed"])
+
+
+def taker(folder: str, before: str, after: str, turn: int, buckets: int):
     """Takes in the answers of a round and says what is open then."""
 
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
         r = state.to_pylist()[0]
         s = Shard(folder, r["shard"])
-        q = s.questions(before, r["questions"])
-        m = asked(q)
-        place = q["place"]
-        real = np.flatnonzero(m <= s.at[place] + 1)
-        found, followed = np.zeros(len(m), np.int64), np.zeros(len(m), np.int64)
-        found[real], followed[real] = 1, s.followed[place[real]]
-        hashes, sums = flat_lists(answers, "hashes"), [flat_lists(answers, k) for k in ("found", "followed")]
-        if len(hashes):
-            order = np.argsort(hashes)
-            hashes = hashes[order]
-            mine = s.hashes(place[real], m[real])
-            at = np.minimum(np.searchsorted(hashes, mine), len(hashes) - 1)
-            hit = hashes[at] == mine
-            found[real[hit]], followed[real[hit]] = (x[order][at[hit]] for x in sums)
-        # What occurs once is left out: from one over the longest that occurs twice on, all does.
-        some = real[found[real] > 1]
-        if turn:
-            name = save_places(folder, place[some], m=m[some], found=found[some], followed=followed[some])
+        place, m, more = asked(s, folder, before, r, turn) if turn else (np.arange(len(s.at)), None, ())
+        bucket, _, _, _, which = sent(s, place, m, turn, buckets)
+        answers = answers.sort_by("bucket")
+        sizes = np.unique(bucket, return_counts=True)[1].tolist()
+        found, followed = (np.concatenate([from_bytes(x, n) for x, n in zip(answers.column(k).to_pylist(), sizes, strict=True)]) for k in ("found", "followed"))
+        r |= {"questions": "", "open": 0}
+        if turn == 0:
+            r["answers"] = [save(folder, found=found, followed=followed)]
+            r["open"] = len(askers(s, found[s.code], 2))
+        elif turn < DENSE:
+            full, full_followed = np.ones(len(s.at), np.int64), s.followed.astype(np.int64)
+            full[place], full_followed[place] = found[which], followed[which]
+            earlier = s.level(folder, r["answers"], turn)[0]
+            r["answers"] = [*r["answers"], save(folder, found=full, followed=full_followed)]
+            if turn + 1 < DENSE:
+                r["open"] = len(askers(s, full, turn + 2))
+            else:
+                runs = Runs.of(s, earlier, full)
+                r["runs"] = save(folder, **runs.kept)
+                one = np.flatnonzero(runs.branches > 0)
+                none = np.zeros(len(one), np.int64)
+                q = dict(zip(QUESTION, (one, none, full[runs.end[one]], full_followed[runs.end[one]], none, none, none)))
+                r["open"] = len(probes(q, runs.branches)[0])
         else:
-            code, first = np.unique(s.code[place[some]], return_index=True)
-            name = save(folder, code=code, found=found[some[first]], followed=followed[some[first]])
-        left = narrowed(q, m, found, followed, len(s.at))
-        n = len(left["place"])
-        r |= {"answers": [*r["answers"], name], "questions": save_places(after, **left) if n else "", "open": n}
-        return pa.Table.from_pylist([r], schema=pa.schema([("shard", pa.string()), ("answers", pa.list_(pa.string())), ("questions", pa.string()), ("open", pa.int64()), ("n_words", pa.int64())]))
+            runs, q, of, at = more
+            found, followed = found[which], followed[which]
+            some = found > 1
+            r["answers"] = [*r["answers"], save(folder, run=q["run"][of[some]], at=at[some], found=found[some], followed=followed[some])]
+            q = narrowed(q, of, at, found, followed, runs.branches)
+            r["open"] = len(probes(q, runs.branches)[0])
+        if turn + 1 >= DENSE and r["open"]:
+            r["questions"] = save(after, **q)
+        return pa.Table.from_pylist([r], schema=STATE_ARROW)
 
     return run
 
 
-def counts_of(s: Shard, folder: str, names: list[str]) -> dict[str, np.ndarray]:
-    """What is known of each place, by place and length; the last of each place is the least length that occurs once."""
-    first, *more = (load(folder, names[0]), *(load_places(folder, name) for name in names[1:]))
-    at = np.full(len(s.word), -1)
-    at[first["code"]] = np.arange(len(first["code"]))
-    of = at[s.code]
-    single = np.flatnonzero(of >= 0)
-    parts = [{"place": single, "m": np.ones(len(single), np.int64), "found": first["found"][of[single]], "followed": first["followed"][of[single]]}, *more]
-    longest = np.zeros(len(s.at), np.int64)
-    for x in parts:
-        np.maximum.at(longest, x["place"], x["m"])
-    parts.append({"place": np.arange(len(s.at)), "m": longest + 1, "found": np.ones(len(s.at), np.int64), "followed": s.followed.astype(np.int64)})
-    return {k: np.concatenate([x[k] for x in parts]) for k in ("place", "m", "found", "followed")}
-
-
-def probabilities(s: Shard, known: dict[str, np.ndarray], total: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+class Tables:
+    """Counts by length of the ends of runs, from DENSE words on; the last of each is the least length that occurs once."""
+
+    def __init__(self, s: Shard, folder: str, runs: Runs, names: list[str], found: np.ndarray, followed: np.ndarray, alpha: float) -> None:
+        n = len(runs.end)
+        parts = [{"run": np.arange(n), "at": np.zeros(n, np.int64), "found": found[runs.end], "followed": followed[runs.end]}, *(load(folder, name) for name in names)]
+        longest = np.zeros(n, np.int64)
+        for x in parts[1:]:
+            np.maximum.at(longest, x["run"], x["at"])
+        parts.append({"run": np.arange(n), "at": longest + 1, "found": np.ones(n, np.int64), "followed": s.followed[runs.end].astype(np.int64)})
+        run, at, found, followed = (np.concatenate([x[k] for x in parts]) for k in ("run", "at", "found", "followed"))
+        m = runs.length(run, at)
+        self.span = int(m.max(initial=0)) + len(s.at) + 2
+        key = run * self.span + m
+        order = np.argsort(key, kind="stable")
+        self.key, self.m, run = key[order], m[order], run[order]
+        self.counts = np.stack([followed[order], found[order]])
+        self.first = np.searchsorted(run, np.arange(n))
+        # The first length at which a count is 1 or less, by kind of count.
+        self.stop = []
+        for c in self.counts:
+            low = np.flatnonzero(c <= 1)
+            self.stop.append(self.m[low[np.searchsorted(run[low], np.arange(n))]])
+        self.stop = np.stack(self.stop)
+        step = np.append(np.diff(self.m), 0)
+        step[np.append(run[1:] != run[:-1], True)[: len(step)]] = 0
+        self.log = np.log2(alpha / (np.maximum(self.counts - 1, 0) + alpha))
+        self.sums = np.concatenate([np.zeros((2, 1)), np.cumsum(self.log * step, axis=1)], axis=1)
+
+    def seek(self, run: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.key, run * self.span + m, "right") - 1
+
+    def factors(self, kind: np.ndarray, run: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Logarithm of the product of all factors from DENSE words up to m."""
+        at = np.maximum(self.seek(run, m), self.first[run])
+        return self.sums[kind, at] - self.sums[kind, self.first[run]] + (m - self.m[at] + 1) * self.log[kind, at]
+
+
+def reach(alpha: float) -> int:
+    """Steps after which less is left of a probability than a double can tell from its sum with another one."""
+    return math.ceil(64 / math.log2(1 + 1 / alpha))
+
+
+def probabilities(s: Shard, folder: str, r: dict, total: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """(log2 probability, words of the longest context) of each place of a shard, in a corpus of `total` words."""
-    n_places = len(s.at)
-    order = np.lexsort((known["m"], known["place"]))
-    place, m, found, followed = (known[k][order] for k in ("place", "m", "found", "followed"))
-    start = np.searchsorted(place, np.arange(n_places))
-    # One entry more, so that there is a next one.
-    place, m = np.append(place, -1), np.append(m, 0).astype(np.int64)
-    p = (found[start] - 1 + alpha / total) / (total - 1 + alpha)
-    log, context = np.log2(p), np.zeros(n_places, np.int64)
+    names = r["answers"]
+    found, followed = s.level(folder, names, 1)
+    p = (found - 1 + alpha / total) / (total - 1 + alpha)
+    log, context = np.log2(p), np.zeros(len(s.at), np.int64)
     live = np.flatnonzero(s.at > 0)
-    n, c_at, f_at = np.ones(len(live), np.int64), start[live], start[live - 1]
-    far = np.iinfo(np.int64).max
-
-    def seek(at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        while True:
-            step = (place[at + 1] == place[at]) & (m[at + 1] <= length)
-            if not step.any():
-                return at
-            at = at + step
-
-    while len(live):
-        c_at, f_at = seek(c_at, n + 1), seek(f_at, n)
-        f = followed[f_at] - 1
-        go = (f > 0) & (n <= s.at[live])
-        live, n, c_at, f_at, f = (x[go] for x in (live, n, c_at, f_at, f))
-        c = np.maximum(found[c_at] - 1, 0)
-        until_c = np.where(place[c_at + 1] == place[c_at], m[c_at + 1] - 1, far)
-        until_f = np.where(place[f_at + 1] == place[f_at], m[f_at + 1], far)
-        k = np.minimum(np.minimum(until_c, until_f), s.at[live] + 1) - n
-        # k steps with the same counts; once a word is unseen, it stays so, and only the logarithm can't underflow.
-        ratio, some = alpha / (f + alpha), c > 0
-        log[live[~some]] += k[~some] * np.log2(ratio[~some])
-        limit = c[some] / f[some]
-        p[live[some]] = limit + (p[live[some]] - limit) * ratio[some] ** k[some]
-        log[live[some]] = np.log2(p[live[some]])
-        n = n + k
-        context[live] = n - 1
+    for n in range(1, DENSE):
+        f = followed[live - 1] - 1
+        live, f = live[f > 0], f[f > 0]
+        found, followed = s.level(folder, names, n + 1)
+        c = found[live] - 1
+        some, none = live[c > 0], live[c == 0]
+        p[some] = (c[c > 0] + alpha * p[some]) / (f[c > 0] + alpha)
+        log[some] = np.log2(p[some])
+        log[none] += np.log2(alpha / (f[c == 0] + alpha))
+        context[live] = n
+    live = live[followed[live - 1] > 1]
+    if not len(live) or not r["runs"]:
+        return log, context
+    runs = Runs(load(folder, r["runs"]))
+    t = Tables(s, folder, runs, names[DENSE:], found, followed, alpha)
+    # The context's run, whether all its occurrences go on alike, and its words to the run's end; then the same of the word.
+    run_f = np.searchsorted(runs.end, live - 1)
+    ahead_f = runs.end[run_f] - (live - 1)
+    kind = (ahead_f > 0).astype(np.int64)
+    longest = t.stop[kind, run_f] - 1 - ahead_f
+    context[live] = longest
+    run_c = np.minimum(np.searchsorted(runs.end, live), len(runs.end) - 1)
+    ahead_c = runs.end[run_c] - live
+    seen = np.where(found[live] > 1, np.minimum(t.stop[1, run_c] - 2 - ahead_c, longest), 0)
+    on = np.flatnonzero(seen >= DENSE)
+    x, top, run_a, ahead_a, kind_a, run_b, ahead_b = live[on], seen[on], run_f[on], ahead_f[on], kind[on], run_c[on], ahead_c[on]
+    n = np.maximum(DENSE, top - reach(alpha) + 1)
+    p[x[n > DENSE]] = 1.0
+    at_f, at_c = t.seek(run_a, n + ahead_a), t.seek(run_b, n + 1 + ahead_b)
+    m = np.append(t.m, 0)
+    while len(x):
+        f, c = t.counts[kind_a, at_f] - 1, t.counts[1, at_c] - 1
+        until_f, until_c = m[at_f + 1] - ahead_a, m[at_c + 1] - 1 - ahead_b
+        next_n = np.minimum(np.minimum(until_f, until_c), top + 1)
+        limit, ratio = c / f, alpha / (f + alpha)
+        p[x] = limit + (p[x] - limit) * ratio ** (next_n - n)
+        at_f, at_c, n = at_f + (until_f == next_n), at_c + (until_c == next_n), next_n
+        go = n <= top
+        x, top, ahead_a, kind_a, ahead_b, at_f, at_c, n = (v[go] for v in (x, top, ahead_a, kind_a, ahead_b, at_f, at_c, n))
+    log[live[on]] = np.log2(p[live[on]])
+    seen = np.maximum(seen, DENSE - 1)
+    rest = np.flatnonzero(longest > seen)
+    kind, run_f, ahead_f, longest, seen = (v[rest] for v in (kind, run_f, ahead_f, longest, seen))
+    log[live[rest]] += t.factors(kind, run_f, longest + ahead_f) - t.factors(kind, run_f, seen + ahead_f)
     return log, context
 
 
@@ -302,9 +421,10 @@ def score_corpus(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_shards, total, pending, turn = state.count(), state.agg(F.sum("n_words")).first()[0] or 0, state.agg(F.sum("open")).first()[0] or 0, 0
     while pending:
         before, after = f"{folder}-{turn}", f"{folder}-{turn + 1}"
-        questions = ask(state.where("open > 0").repartition(n_shards), before, folder, max(partitions(spark), math.ceil(pending / ENTRIES)))
-        answers = questions.groupBy("bucket").applyInArrow(summed, LISTS)
-        taken = state.where("open > 0").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(taker(folder, before, after, turn), STATE)
+        buckets = max(partitions(spark), math.ceil(pending / ENTRIES))
+        questions = ask(state.where("open > 0").repartition(n_shards), before, folder, turn, buckets)
+        answers = questions.groupBy("bucket").applyInArrow(summed, COUNTS)
+        taken = state.where("open > 0").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(taker(folder, before, after, turn, buckets), STATE)
         state = written(taken.union(state.where("open = 0")), "shards")
         asked_now = pending
         pending, turn = state.agg(F.sum("open")).first()[0] or 0, turn + 1
@@ -317,12 +437,12 @@ def score_corpus(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.select(["shard", "answers"]).to_pylist():
+            for r in b.select(["shard", "answers", "runs"]).to_pylist():
                 s = Shard(folder, r["shard"])
                 n = len(s.n_words)
                 log, context = np.zeros(0), np.zeros(0, np.int64)
                 if len(s.at):
-                    log, context = probabilities(s, counts_of(s, folder, r["answers"]), total, alpha)
+                    log, context = probabilities(s, folder, r, total, alpha)
                 sums = [np.bincount(s.row, x, n) for x in (log, context)]
                 mean = sums[1] / np.maximum(s.n_words, 1)
                 null = ~s.has_text

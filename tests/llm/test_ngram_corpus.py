@@ -47,3 +47,35 @@ def test_query_scores_the_documents(spark, tmp_path):
     spark.createDataFrame([(1, "a b c"), (2, "a b d")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     out = queries()["op7_ngram_scoring"](spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+
+
+def test_few_rounds_for_long_copies(spark, monkeypatch):
+    """Edited copies of 200 words: rounds follow the places where copies part, not the lengths between them."""
+    rng = random.Random(5)
+    passage = [f"v{rng.randrange(5000)}" for _ in range(200)]
+    docs = [[*passage[:k], f"edit{k}", *passage[k + 1 :]] for k in (20, 60, 61, 120, 180)] + [passage]
+    counts = Counter()
+    for ws in docs:
+        for i in range(len(ws)):
+            counts.update((tuple(ws[i:j]), j < len(ws)) for j in range(i + 1, len(ws) + 1))
+    n_words, want = 1200, []
+    for ws in docs:
+        log, contexts = 0.0, 0
+        for i, w in enumerate(ws):
+            p, n = (counts[(w,), True] + counts[(w,), False] - 1 + 1 / n_words) / n_words, 1
+            # The logarithm of what was seen last, and of factors from there on.
+            log_p = math.log2(p)
+            while n <= i and (f := counts[tuple(ws[i - n : i]), True] - 1) > 0:
+                gram = tuple(ws[i - n : i + 1])
+                c = counts[gram, True] + counts[gram, False] - 1
+                p = (c + p) / (f + 1)
+                log_p = math.log2(p) if c else log_p - math.log2(f + 1)
+                n += 1
+            log, contexts = log + log_p, contexts + n - 1
+        want.append((len(ws), pytest.approx(log, abs=1e-5), pytest.approx(contexts / len(ws), abs=1e-5)))
+    rounds, ask = [], ngram_corpus.ask
+    monkeypatch.setattr(ngram_corpus, "ask", lambda *args: rounds.append(1) or ask(*args))
+    rows = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(docs)], "doc_id bigint, text string").repartition(2)
+    got = ngram_corpus.score_corpus(rows, shard_bytes=2500).orderBy("doc_id").collect()
+    assert [(r["n_words"], r["log2_probability"], r["mean_context"]) for r in got] == want
+    assert len(rounds) <= 8
