@@ -21,7 +21,8 @@ questions, and no greatest length:
     p_0 = (C(i, 1) - 1 + ALPHA / N) / (N - 1 + ALPHA)                       in a corpus of N words
 
    A step keeps at most ALPHA / (1 + ALPHA) of what was before it. So while the word is seen, the last lengths alone decide, as
-   far as a double can hold (`reach`); once it is unseen, only factors follow, of which sums of logarithms are kept.
+   far as a double can hold (`reach`); once it is unseen, only
+   factors follow, of which sums of logarithms are kept.
 
 Defined cases: only the place itself is left out, so other places of the same document and equal rows count; each row is
 scored, also those that repeat an id or have none; a null text has null scores; a text without a word has 0 words, log2
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import gc
 import math
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -159,6 +161,11 @@ class Runs:
         start = np.maximum.accumulate(np.where(first, at, 0))[end]
         return cls({"end": np.diff(end, prepend=0), "start": np.diff(start, prepend=0), "branch": np.diff(np.flatnonzero(twice & (found < before)), prepend=0)})
 
+    def asks(self, q: dict[str, np.ndarray]) -> int:
+        """At least 1 while there are questions: others may have to halve an interval first, and all keep step."""
+        which, at = probes(q)
+        return max(int((at <= self.branches[q["run"][which]]).sum()), int(len(which) > 0))
+
     def length(self, run: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Words from the k-th branch to a run's end; with one more than there are branches, words that hold a unique part."""
         at = np.append(self.branch, 0)[np.maximum(self.base[run] - k, 0)]
@@ -166,19 +173,23 @@ class Runs:
         return self.end[run] - np.where(k == 0, self.end[run], at) + DENSE
 
 
-def probes(q: dict[str, np.ndarray], branches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(question, branch) of all that is asked in a round, in order; b is 0 where an interval has no end yet."""
-    a, gap, end = q["a"][:, None], (q["b"] - q["a"])[:, None], branches[q["run"]][:, None]
+def probes(q: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(question, branch) of all that is asked in a round, in order; b is 0 where an interval has no end yet.
+
+    An interval's ends alone decide, so all runs that hold an n-gram ask for it in the same round. Were it to depend on anything
+    else, as on how many branches a run has, some occurrences would be missing from the sum.
+    """
+    a, gap = q["a"][:, None], (q["b"] - q["a"])[:, None]
     inside = np.minimum(np.maximum(gap - 1, 0), SPLIT)
     j = np.arange(1, SPLIT + 1)
     at = np.where(j <= inside, a + j * gap // (inside + 1), 0)
-    further = np.where(a == 0, np.array([1, 2, 3, 4, 6, 8, 0][:SPLIT]), a * np.array([3, 4, 6, 8, 0, 0, 0][:SPLIT]) // 2)
-    at = np.where(q["b"][:, None] > 0, at, np.minimum(further, end))
+    further = np.where(a == 0, np.array([2, 4, 8] + [0] * (SPLIT - 3)), a * np.array([2, 4] + [0] * (SPLIT - 2)))
+    at = np.where(q["b"][:, None] > 0, at, further)
     which, column = np.nonzero(at > np.maximum.accumulate(np.concatenate([a, at[:, :-1]], axis=1), axis=1))
     return which, at[which, column]
 
 
-def narrowed(q: dict[str, np.ndarray], which: np.ndarray, at: np.ndarray, found: np.ndarray, followed: np.ndarray, branches: np.ndarray) -> dict[str, np.ndarray]:
+def narrowed(q: dict[str, np.ndarray], which: np.ndarray, at: np.ndarray, found: np.ndarray, followed: np.ndarray) -> dict[str, np.ndarray]:
     """The questions that these answers leave open."""
     first, last = np.ones(len(which), bool), np.ones(len(which), bool)
     first[1:] = last[:-1] = which[1:] != which[:-1]
@@ -190,7 +201,7 @@ def narrowed(q: dict[str, np.ndarray], which: np.ndarray, at: np.ndarray, found:
     def differ(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
         return (y[0] - x[0] > 1) & (x[1] > 1) & ((x[1] != y[1]) | (x[2] != y[2]))
 
-    on = last & (high[0] == 0) & (found > 1) & (at < branches[q["run"][which]])
+    on = last & (high[0] == 0) & (found > 1)
     parts = [(differ(low, here), low, here), (last & (high[0] > 0) & differ(here, high), here, high), (on, here, (zero, zero, zero))]
     rows = [[x[some] for x in (q["run"][which], *one, *two)] for some, one, two in parts]
     return {k: np.concatenate(x) for k, x in zip(QUESTION, zip(*rows))}
@@ -202,9 +213,10 @@ def asked(s: Shard, folder: str, before: str, r: dict, turn: int) -> tuple[np.nd
         place = askers(s, s.level(folder, r["answers"], turn)[0], turn + 1)
         return place, np.full(len(place), turn + 1), ()
     runs, q = Runs(load(folder, r["runs"])), load(before, r["questions"])
-    which, at = probes(q, runs.branches)
+    which, at = probes(q)
     run = q["run"][which]
-    return runs.end[run], runs.length(run, at), (runs, q, which, at)
+    real = at <= runs.branches[run]
+    return runs.end[run[real]], runs.length(run[real], at[real]), (runs, q, which, at, real)
 
 
 def sent(s: Shard, place: np.ndarray, m: np.ndarray, turn: int, buckets: int) -> tuple[np.ndarray, ...]:
@@ -282,7 +294,7 @@ def taker(folder: str, before: str, after: str, turn: int, buckets: int):
         bucket, _, _, _, which = sent(s, place, m, turn, buckets)
         answers = answers.sort_by("bucket")
         sizes = np.unique(bucket, return_counts=True)[1].tolist()
-        found, followed = (np.concatenate([from_bytes(x, n) for x, n in zip(answers.column(k).to_pylist(), sizes, strict=True)]) for k in ("found", "followed"))
+        found, followed = (np.concatenate([np.zeros(0, np.int64), *(from_bytes(x, n) for x, n in zip(answers.column(k).to_pylist(), sizes, strict=True))]) for k in ("found", "followed"))
         r |= {"questions": "", "open": 0}
         if turn == 0:
             r["answers"] = [save(folder, found=found, followed=followed)]
@@ -300,14 +312,25 @@ def taker(folder: str, before: str, after: str, turn: int, buckets: int):
                 one = np.flatnonzero(runs.branches > 0)
                 none = np.zeros(len(one), np.int64)
                 q = dict(zip(QUESTION, (one, none, full[runs.end[one]], full_followed[runs.end[one]], none, none, none)))
-                r["open"] = len(probes(q, runs.branches)[0])
+                r["open"] = runs.asks(q)
         else:
-            runs, q, of, at = more
-            found, followed = found[which], followed[which]
+            runs, q, of, at, real = more
+            sums = found[which], followed[which]
+            # Words from beyond the last branch hold a part that occurs once.
+            found, followed = np.ones(len(of), np.int64), s.followed[runs.end[q["run"][of]]].astype(np.int64)
+            found[real], followed[real] = sums
             some = found > 1
+            # Of equal counts in a row the last of a question tells how far they go, the others nothing.
+            same, last = np.zeros(len(of), bool), np.ones(len(of), bool)
+            same[1:] = (of[1:] == of[:-1]) & (found[1:] == found[:-1]) & (followed[1:] == followed[:-1])
+            last[:-1] = (of[1:] != of[:-1]) | (found[1:] <= 1)
+            some &= ~same | last
             r["answers"] = [*r["answers"], save(folder, run=q["run"][of[some]], at=at[some], found=found[some], followed=followed[some])]
-            q = narrowed(q, of, at, found, followed, runs.branches)
-            r["open"] = len(probes(q, runs.branches)[0])
+            q = narrowed(q, of, at, found, followed)
+            # Beyond its last branch a run holds nothing that others ask for.
+            more = q["a"] < runs.branches[q["run"]]
+            q = {k: x[more] for k, x in q.items()}
+            r["open"] = runs.asks(q)
         if turn + 1 >= DENSE and r["open"]:
             r["questions"] = save(after, **q)
         return pa.Table.from_pylist([r], schema=STATE_ARROW)
@@ -432,8 +455,10 @@ def score_corpus(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if asked_now > ENTRIES:
             # Nothing reads this round's exchanges again; their files go when the driver collects what stands for them.
             del questions, answers, taken
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
+            for _ in range(2):
+                gc.collect()
+                spark.sparkContext._jvm.System.gc()
+                time.sleep(0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
