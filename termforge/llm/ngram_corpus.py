@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_path, new_path, partitions, written
-from .kernels import Powers, chunks, list_array, mix, space_table, tidy
+from .kernels import Powers, chunks, list_array, mix, release, space_table, tidy
 from .ngram import ALPHA
 from .passages import words_of
 
@@ -355,6 +355,9 @@ class Tables:
         order = np.argsort(key, kind="stable")
         self.key, self.m, run = key[order], m[order], run[order]
         self.counts = np.stack([followed[order], found[order]])
+        # The sums below take as much again.
+        del parts, at, found, followed, m, key, order
+        release()
         self.first = np.searchsorted(run, np.arange(n))
         # The first length at which a count is 1 or less, by kind of count.
         self.stop = []
