@@ -10,10 +10,12 @@ questions, and no greatest length:
 - If all occurrences of DENSE - 1 words are preceded by the same word, no count changes when a context that begins with them
   takes in that word. So only the other places, its *branches*, are candidates for a change.
 
-1. Each task cuts its part of the corpus into shards of about SHARD_BYTES, which are written once, as word hashes, to the
-   shared folder, with the questions that are open.
-2. In a round, each shard sends the hashes it asks about to buckets by range of hash; a bucket sums them and answers in the
-   order of the question, so no hash is sent back. After DENSE rounds, an end of a run asks about a few branches at once, further
+1. Texts with the same least hash of DENSE words, as most copies and edited copies have, are sent to one task (`near`). Each task
+   cuts its texts into shards of about SHARD_BYTES, which are written once, as word hashes, to the shared folder, with the
+   questions that are open. Equal texts of a shard are one text with a weight, and count as often; "twice" then means more
+   often than the own weight. How texts meet decides only how much is asked, never a count.
+2. In a round, each shard sends the hashes it asks about, each once with its sum, to buckets by range of hash; a bucket sums them
+   and answers in the order of the question, so no hash is sent back. After DENSE rounds, an end of a run asks about a few branches at once, further
    and further to the left until its words are unique, and then, between two that differ, about up to SPLIT more.
 3. When nothing is open, each shard scores its own documents from its answers:
 
@@ -37,20 +39,22 @@ import math
 import time
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as fs
 import pyarrow.ipc as ipc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_path, new_path, partitions, written
-from .kernels import Powers, chunks, list_array, mix, release, space_table, tidy
+from .kernels import Powers, chunks, list_array, mix, release, space_table, tidy, window_hashes
 from .ngram import ALPHA
 from .passages import words_of
 
 _BASE = 0xD6E8FEB86659FD93
+_powers = Powers()
 SHARD_BYTES = 4 << 20
 DENSE = 4
 SPLIT = 7
@@ -103,38 +107,59 @@ def from_bytes(data: bytes, n: int) -> np.ndarray:
 
 
 class Shard:
-    """The words of a shard's rows, end to end."""
+    """The words of a shard's distinct texts, end to end; weight is the number of rows that have a text."""
 
     def __init__(self, folder: str, name: str) -> None:
         kept = load(folder, name)
-        self.doc_id, self.has_id, self.has_text, self.n_words = (kept[k] for k in ("doc_id", "has_id", "has_text", "n_words"))
-        self.row = np.repeat(np.arange(len(self.n_words)), self.n_words)
-        end = np.cumsum(self.n_words)
+        self.doc_id, self.has_id, self.has_text, self.text, self.n_words, self.weights = (kept[k] for k in ("doc_id", "has_id", "has_text", "text", "n_words", "weight"))
         self.word, self.code = kept["word"], kept["code"]
-        words = self.word.view(np.uint64)[self.code]
-        self.at = np.arange(len(words)) - (end - self.n_words)[self.row]
-        self.followed = np.ones(len(words), bool)
-        self.followed[end[self.n_words > 0] - 1] = False
-        up, self.down = Powers()(_BASE, len(words))
-        self.total = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * up, out=self.total[1:])
+
+    @cached_property
+    def row(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.n_words)), self.n_words)
+
+    @cached_property
+    def at(self) -> np.ndarray:
+        return np.arange(len(self.code)) - np.repeat(np.cumsum(self.n_words) - self.n_words, self.n_words)
+
+    @cached_property
+    def weight(self) -> np.ndarray:
+        return np.repeat(self.weights, self.n_words)
+
+    @cached_property
+    def followed(self) -> np.ndarray:
+        out = self.weight.copy()
+        out[np.cumsum(self.n_words)[self.n_words > 0] - 1] = 0
+        return out
+
+    @cached_property
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        up, down = _powers(_BASE, len(self.code))
+        total = np.zeros(len(self.code) + 1, np.uint64)
+        np.cumsum(self.word.view(np.uint64)[self.code] * up, out=total[1:])
+        return total, down
 
     def hashes(self, place: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Hash of the words that end at each place."""
-        begin = place + 1 - length
-        return mix(mix((self.total[place + 1] - self.total[begin]) * self.down[begin]) + length.astype(np.uint64))
+        begin, (total, down) = place + 1 - length, self.sums
+        return mix(mix((total[place + 1] - total[begin]) * down[begin]) + length.astype(np.uint64))
 
     def level(self, folder: str, names: list[str], m: int) -> tuple[np.ndarray, np.ndarray]:
-        """C and F of all places at a length up to DENSE; what occurs once is counted as such."""
+        """C and F of all places at a length up to DENSE; what occurs once is counted as such, what would begin before its text as 0."""
         if m > len(names):
-            return np.ones(len(self.at), np.int64), self.followed.astype(np.int64)
+            return self.alone(m)
         kept = load(folder, names[m - 1])
         return (kept["found"][self.code], kept["followed"][self.code]) if m == 1 else (kept["found"], kept["followed"])
 
+    def alone(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """C and F of all places at a length, were no n-gram to occur in another place."""
+        whole = self.at >= m - 1
+        return self.weight * whole, self.followed * whole
+
 
 def askers(s: Shard, found: np.ndarray, m: int) -> np.ndarray:
     """Places to ask for at length m, from the counts of length m - 1: an n-gram of which a part occurs once occurs once."""
-    twice = found > 1
+    twice = found > s.weight
     some = twice & (s.at >= m - 1)
     some[1:] &= twice[:-1]
     return np.flatnonzero(some)
@@ -152,7 +177,7 @@ class Runs:
     @classmethod
     def of(cls, s: Shard, before: np.ndarray, found: np.ndarray) -> Runs:
         """From C at lengths DENSE - 1 and DENSE."""
-        twice, at = found > 1, np.arange(len(found))
+        twice, at = found > s.weight, np.arange(len(found))
         inner = np.zeros(len(found), bool)
         inner[:-1] = twice[1:] & (found[1:] == before[:-1])
         end = np.flatnonzero(twice & ~inner)
@@ -161,11 +186,6 @@ class Runs:
         start = np.maximum.accumulate(np.where(first, at, 0))[end]
         return cls({"end": np.diff(end, prepend=0), "start": np.diff(start, prepend=0), "branch": np.diff(np.flatnonzero(twice & (found < before)), prepend=0)})
 
-    def asks(self, q: dict[str, np.ndarray]) -> int:
-        """At least 1 while there are questions: others may have to halve an interval first, and all keep step."""
-        which, at = probes(q)
-        return max(int((at <= self.branches[q["run"][which]]).sum()), int(len(which) > 0))
-
     def length(self, run: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Words from the k-th branch to a run's end; with one more than there are branches, words that hold a unique part."""
         at = np.append(self.branch, 0)[np.maximum(self.base[run] - k, 0)]
@@ -173,24 +193,27 @@ class Runs:
         return self.end[run] - np.where(k == 0, self.end[run], at) + DENSE
 
 
+def n_probes(q: dict[str, np.ndarray]) -> np.ndarray:
+    return np.where(q["b"] > 0, np.minimum(q["b"] - q["a"] - 1, SPLIT), np.where(q["a"] > 0, 2, 3))
+
+
 def probes(q: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(question, branch) of all that is asked in a round, in order; b is 0 where an interval has no end yet.
 
     An interval's ends alone decide, so all runs that hold an n-gram ask for it in the same round. Were it to depend on anything
     else, as on how many branches a run has, some occurrences would be missing from the sum.
     """
-    a, gap = q["a"][:, None], (q["b"] - q["a"])[:, None]
-    inside = np.minimum(np.maximum(gap - 1, 0), SPLIT)
-    j = np.arange(1, SPLIT + 1)
-    at = np.where(j <= inside, a + j * gap // (inside + 1), 0)
-    further = np.where(a == 0, np.array([2, 4, 8] + [0] * (SPLIT - 3)), a * np.array([2, 4] + [0] * (SPLIT - 2)))
-    at = np.where(q["b"][:, None] > 0, at, further)
-    which, column = np.nonzero(at > np.maximum.accumulate(np.concatenate([a, at[:, :-1]], axis=1), axis=1))
-    return which, at[which, column]
-
-
-def narrowed(q: dict[str, np.ndarray], which: np.ndarray, at: np.ndarray, found: np.ndarray, followed: np.ndarray) -> dict[str, np.ndarray]:
-    """The questions that these answers leave open."""
+    n = n_probes(q)
+    which = np.repeat(np.arange(len(n)), n)
+    j = np.arange(1, len(which) + 1) - np.repeat(np.cumsum(n) - n, n)
+    at = q["a"][which] + j * (q["b"] - q["a"])[which] // (n + 1)[which]
+    some = np.flatnonzero((q["b"] == 0)[which])
+    at[some] = np.maximum(q["a"][which[some]], 1) << j[some]
+    return which, at
+
+
+def narrowed(q: dict[str, np.ndarray], which: np.ndarray, at: np.ndarray, found: np.ndarray, followed: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """The questions that these answers leave open; weight is that of the text behind each."""
     first, last = np.ones(len(which), bool), np.ones(len(which), bool)
     first[1:] = last[:-1] = which[1:] != which[:-1]
     here = (at, found, followed)
@@ -199,9 +222,9 @@ def narrowed(q: dict[str, np.ndarray], which: np.ndarray, at: np.ndarray, found:
     zero = np.zeros(len(which), np.int64)
 
     def differ(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
-        return (y[0] - x[0] > 1) & (x[1] > 1) & ((x[1] != y[1]) | (x[2] != y[2]))
+        return (y[0] - x[0] > 1) & (x[1] > weight) & ((x[1] != y[1]) | (x[2] != y[2]))
 
-    on = last & (high[0] == 0) & (found > 1)
+    on = last & (high[0] == 0) & (found > weight)
     parts = [(differ(low, here), low, here), (last & (high[0] > 0) & differ(here, high), here, high), (on, here, (zero, zero, zero))]
     rows = [[x[some] for x in (q["run"][which], *one, *two)] for some, one, two in parts]
     return {k: np.concatenate(x) for k, x in zip(QUESTION, zip(*rows))}
@@ -220,22 +243,37 @@ def asked(s: Shard, folder: str, before: str, r: dict, turn: int) -> tuple[np.nd
 
 
 def sent(s: Shard, place: np.ndarray, m: np.ndarray, turn: int, buckets: int) -> tuple[np.ndarray, ...]:
-    """(bucket, hash, occurrences, those before another word) in the order of buckets, and where each question is in it."""
+    """(bucket, hash, occurrences, those before another word) in the order of buckets, each hash once, and which is each question's."""
     if turn == 0:
         hashes, which = s.word.view(np.uint64), s.code
-    elif turn == 1:
+    else:
         hashes, which = np.unique(s.hashes(place, m), return_inverse=True)
         which = which.reshape(-1)
-    else:
-        hashes = s.hashes(place, m)
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
-    if turn < 2:
-        # Few hashes for many places; they are in order, and so are ranges of them.
-        return bucket, hashes, np.bincount(which, minlength=len(hashes)), np.bincount(which, s.followed[place], len(hashes)).astype(np.int64), which
-    order = np.argsort(bucket, kind="stable")
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    return bucket[order], hashes[order], np.ones(len(order), np.int64), s.followed[place[order]].astype(np.int64), back
+    # They are in order, and so are ranges of them.
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    found, followed = (np.bincount(which, x[place], len(hashes)).astype(np.int64) for x in (s.weight, s.followed))
+    return bucket, hashes, found, followed, which
+
+
+def near(rows: DataFrame) -> DataFrame:
+    """rows with the least hash of DENSE words of each text, of its words if there are fewer, of its id if there are none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power, table = Powers(), space_table()
+        for b in batches:
+            doc_id = b.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
+            for row, part in chunks(b.column("text")):
+                w = words_of(part, power, table)
+                least, n = mix(doc_id[row : row + len(part)].view(np.uint64)), np.diff(w.first)
+                for size in (1, DENSE):
+                    some = np.flatnonzero(n >= size)
+                    if len(some):
+                        grams = np.append(window_hashes(w.hashes, size, power), np.uint64(0))
+                        cuts = np.stack([w.first[some], w.first[some + 1] - size + 1], axis=1)
+                        least[some] = np.minimum.reduceat(grams, cuts.reshape(-1))[::2]
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(row, len(part)) for k in ("doc_id", "text")), pa.array(least.view(np.int64))], names=["doc_id", "text", "near"])
+
+    return rows.mapInArrow(tidy(run), "doc_id bigint, text string, near bigint")
 
 
 def shards(rows: DataFrame, folder: str, shard_bytes: int) -> DataFrame:
@@ -245,11 +283,14 @@ def shards(rows: DataFrame, folder: str, shard_bytes: int) -> DataFrame:
             has_id, has_text = (b.column(k).is_valid().to_numpy(zero_copy_only=False) for k in ("doc_id", "text"))
             doc_id = b.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
             for row, part in chunks(b.column("text"), shard_bytes):
-                w = words_of(part, power, table)
+                distinct = part.dictionary_encode()
+                text = distinct.indices.to_numpy().astype(np.int64)
+                w = words_of(distinct.dictionary, power, table)
+                n_words, weight = np.diff(w.first), np.bincount(text)
                 word, code = np.unique(w.hashes, return_inverse=True)
                 own = slice(row, row + len(part))
-                name = save(folder, doc_id=doc_id[own], has_id=has_id[own], has_text=has_text[own], n_words=np.diff(w.first), word=word.view(np.int64), code=code.reshape(-1).astype(np.int64))
-                yield pa.RecordBatch.from_pylist([{"shard": name, "answers": [], "runs": "", "questions": "", "open": len(word), "n_words": len(w.hashes)}], schema=STATE_ARROW)
+                name = save(folder, doc_id=doc_id[own], has_id=has_id[own], has_text=has_text[own], text=text, weight=weight, n_words=n_words, word=word.view(np.int64), code=code.reshape(-1).astype(np.int64))
+                yield pa.RecordBatch.from_pylist([{"shard": name, "answers": [], "runs": "", "questions": "", "open": len(word), "n_words": int((n_words * weight).sum())}], schema=STATE_ARROW)
 
     return rows.mapInArrow(tidy(run), STATE)
 
@@ -300,7 +341,7 @@ def taker(folder: str, before: str, after: str, turn: int, buckets: int):
             r["answers"] = [save(folder, found=found, followed=followed)]
             r["open"] = len(askers(s, found[s.code], 2))
         elif turn < DENSE:
-            full, full_followed = np.ones(len(s.at), np.int64), s.followed.astype(np.int64)
+            full, full_followed = s.alone(turn + 1)
             full[place], full_followed[place] = found[which], followed[which]
             earlier = s.level(folder, r["answers"], turn)[0]
             r["answers"] = [*r["answers"], save(folder, found=full, followed=full_followed)]
@@ -312,25 +353,26 @@ def taker(folder: str, before: str, after: str, turn: int, buckets: int):
                 one = np.flatnonzero(runs.branches > 0)
                 none = np.zeros(len(one), np.int64)
                 q = dict(zip(QUESTION, (one, none, full[runs.end[one]], full_followed[runs.end[one]], none, none, none)))
-                r["open"] = runs.asks(q)
+                r["open"] = int(n_probes(q).sum())
         else:
             runs, q, of, at, real = more
             sums = found[which], followed[which]
             # Words from beyond the last branch hold a part that occurs once.
-            found, followed = np.ones(len(of), np.int64), s.followed[runs.end[q["run"][of]]].astype(np.int64)
+            weight, followed = (x[runs.end[q["run"][of]]] for x in (s.weight, s.followed))
+            found = weight.copy()
             found[real], followed[real] = sums
-            some = found > 1
+            some = found > weight
             # Of equal counts in a row the last of a question tells how far they go, the others nothing.
             same, last = np.zeros(len(of), bool), np.ones(len(of), bool)
             same[1:] = (of[1:] == of[:-1]) & (found[1:] == found[:-1]) & (followed[1:] == followed[:-1])
-            last[:-1] = (of[1:] != of[:-1]) | (found[1:] <= 1)
+            last[:-1] = (of[1:] != of[:-1]) | (found[1:] <= weight[1:])
             some &= ~same | last
             r["answers"] = [*r["answers"], save(folder, run=q["run"][of[some]], at=at[some], found=found[some], followed=followed[some])]
-            q = narrowed(q, of, at, found, followed)
+            q = narrowed(q, of, at, found, followed, weight)
             # Beyond its last branch a run holds nothing that others ask for.
             more = q["a"] < runs.branches[q["run"]]
             q = {k: x[more] for k, x in q.items()}
-            r["open"] = runs.asks(q)
+            r["open"] = int(n_probes(q).sum())
         if turn + 1 >= DENSE and r["open"]:
             r["questions"] = save(after, **q)
         return pa.Table.from_pylist([r], schema=STATE_ARROW)
@@ -339,24 +381,29 @@ def taker(folder: str, before: str, after: str, turn: int, buckets: int):
 
 
 class Tables:
-    """Counts by length of the ends of runs, from DENSE words on; the last of each is the least length that occurs once."""
+    """Counts by length of the ends of runs, from DENSE words on, down to 0 where a text begins; then those of more places, which
+    are alone."""
 
-    def __init__(self, s: Shard, folder: str, runs: Runs, names: list[str], found: np.ndarray, followed: np.ndarray, alpha: float) -> None:
+    def __init__(self, s: Shard, folder: str, runs: Runs, names: list[str], found: np.ndarray, followed: np.ndarray, more: np.ndarray, alpha: float) -> None:
         n = len(runs.end)
         parts = [{"run": np.arange(n), "at": np.zeros(n, np.int64), "found": found[runs.end], "followed": followed[runs.end]}, *(load(folder, name) for name in names)]
         longest = np.zeros(n, np.int64)
         for x in parts[1:]:
             np.maximum.at(longest, x["run"], x["at"])
-        parts.append({"run": np.arange(n), "at": longest + 1, "found": np.ones(n, np.int64), "followed": s.followed[runs.end].astype(np.int64)})
         run, at, found, followed = (np.concatenate([x[k] for x in parts]) for k in ("run", "at", "found", "followed"))
-        m = runs.length(run, at)
+        # The least length that occurs in no other place, and one that no text has.
+        place, every = np.append(runs.end, more), np.arange(n + len(more))
+        once, out = np.append(runs.length(every[:n], longest + 1), np.full(len(more), DENSE)), s.at[place] + 2
+        own, none = every[once < out], np.zeros(len(every), np.int64)
+        run, m, found, followed = (np.concatenate(x) for x in ((run, own, every), (runs.length(run, at), once[own], out), (found, s.weight[place[own]], none), (followed, s.followed[place[own]], none)))
+        n = len(every)
         self.span = int(m.max(initial=0)) + len(s.at) + 2
         key = run * self.span + m
         order = np.argsort(key, kind="stable")
         self.key, self.m, run = key[order], m[order], run[order]
         self.counts = np.stack([followed[order], found[order]])
         # The sums below take as much again.
-        del parts, at, found, followed, m, key, order
+        del parts, at, found, followed, m, key, order, place, every, once, out, own, none
         release()
         self.first = np.searchsorted(run, np.arange(n))
         # The first length at which a count is 1 or less, by kind of count.
@@ -402,10 +449,16 @@ def probabilities(s: Shard, folder: str, r: dict, total: int, alpha: float) -> t
         log[none] += np.log2(alpha / (f[c == 0] + alpha))
         context[live] = n
     live = live[followed[live - 1] > 1]
-    if not len(live) or not r["runs"]:
+    twice = found > s.weight
+    # A context in no other place goes on, with its word, to the beginning of a text that several rows have.
+    x, live = live[~twice[live - 1]], live[twice[live - 1]]
+    p[x] = 1 + (p[x] - 1) * (alpha / (s.weight[x] - 1 + alpha)) ** (s.at[x] - DENSE + 1)
+    log[x], context[x] = np.log2(p[x]), s.at[x]
+    if not len(live):
         return log, context
     runs = Runs(load(folder, r["runs"]))
-    t = Tables(s, folder, runs, names[DENSE:], found, followed, alpha)
+    more = live[~twice[live] & (s.weight[live] > 1)]
+    t = Tables(s, folder, runs, names[DENSE:], found, followed, more, alpha)
     # The context's run, whether all its occurrences go on alike, and its words to the run's end; then the same of the word.
     run_f = np.searchsorted(runs.end, live - 1)
     ahead_f = runs.end[run_f] - (live - 1)
@@ -413,7 +466,8 @@ def probabilities(s: Shard, folder: str, r: dict, total: int, alpha: float) -> t
     longest = t.stop[kind, run_f] - 1 - ahead_f
     context[live] = longest
     run_c = np.minimum(np.searchsorted(runs.end, live), len(runs.end) - 1)
-    ahead_c = runs.end[run_c] - live
+    ahead_c = np.where(twice[live], runs.end[run_c] - live, 0)
+    run_c = np.where(twice[live] | (s.weight[live] == 1), run_c, len(runs.end) + np.searchsorted(more, live))
     seen = np.where(found[live] > 1, np.minimum(t.stop[1, run_c] - 2 - ahead_c, longest), 0)
     on = np.flatnonzero(seen >= DENSE)
     x, top, run_a, ahead_a, kind_a, run_b, ahead_b = live[on], seen[on], run_f[on], ahead_f[on], kind[on], run_c[on], ahead_c[on]
@@ -438,12 +492,23 @@ def probabilities(s: Shard, folder: str, r: dict, total: int, alpha: float) -> t
     return log, context
 
 
+def collected(spark: SparkSession) -> None:
+    """Exchanges that nothing reads again: their files go when the driver collects what stands for them."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def score_corpus(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, n_words, log2_probability, perplexity, mean_context) of every row."""
     spark = corpus.sparkSession
     rows = corpus.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     folder = new_path(spark, "ngram")
-    state = written(shards(rows, folder, shard_bytes), "shards")
+    together = near(rows).hint("rebalance", "near").sortWithinPartitions("near", F.xxhash64("text")).select("doc_id", "text")
+    state = written(shards(together, folder, shard_bytes), "shards")
+    del together
+    collected(spark)
     n_shards, total, pending, turn = state.count(), state.agg(F.sum("n_words")).first()[0] or 0, state.agg(F.sum("open")).first()[0] or 0, 0
     while pending:
         before, after = f"{folder}-{turn}", f"{folder}-{turn + 1}"
@@ -456,12 +521,9 @@ def score_corpus(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         pending, turn = state.agg(F.sum("open")).first()[0] or 0, turn + 1
         drop_path(spark, before)
         if asked_now > ENTRIES:
-            # Nothing reads this round's exchanges again; their files go when the driver collects what stands for them.
+            # Nothing reads this round's exchanges again.
             del questions, answers, taken
-            for _ in range(2):
-                gc.collect()
-                spark.sparkContext._jvm.System.gc()
-                time.sleep(0.5)
+            collected(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -472,9 +534,9 @@ def score_corpus(corpus: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if len(s.at):
                     log, context = probabilities(s, folder, r, total, alpha)
                 sums = [np.bincount(s.row, x, n) for x in (log, context)]
-                mean = sums[1] / np.maximum(s.n_words, 1)
+                n_words, log, mean = (x[s.text] for x in (s.n_words.astype(np.int32), sums[0], sums[1] / np.maximum(s.n_words, 1)))
                 null = ~s.has_text
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_id, mask=~s.has_id), pa.array(s.n_words.astype(np.int32), mask=null), pa.array(sums[0], mask=null), pa.array(mean, mask=null)], names=["doc_id", "n_words", "log2_probability", "mean_context"])
+                yield pa.RecordBatch.from_arrays([pa.array(s.doc_id, mask=~s.has_id), pa.array(n_words, mask=null), pa.array(log, mask=null), pa.array(mean, mask=null)], names=["doc_id", "n_words", "log2_probability", "mean_context"])
 
     scored = state.repartition(max(1, n_shards)).mapInArrow(tidy(run), SCORES)
     some = F.col("n_words") > 0

@@ -79,3 +79,40 @@ def test_few_rounds_for_long_copies(spark, monkeypatch):
     got = ngram_corpus.score_corpus(rows, shard_bytes=2500).orderBy("doc_id").collect()
     assert [(r["n_words"], r["log2_probability"], r["mean_context"]) for r in got] == want
     assert len(rounds) <= 8
+
+
+def test_copies_are_asked_for_once(spark, monkeypatch):
+    """Equal texts weigh as many, wherever they lie, and a shard asks for what its texts share once."""
+    rng = random.Random(8)
+    passage = [f"u{rng.randrange(4000)}" for _ in range(120)]
+    docs = [passage] * 12 + [[*passage[:k], "edit", *passage[k + 1 :]] for k in (9, 30, 31, 77, 118)]
+    docs += [docs[-1], passage[3:90], passage[3:90], passage[:50], "a b".split(), "a b".split(), "a b c d e".split(), ["a"] * 9, ["a"] * 9]
+    docs += [f"x{i}" for i in range(30) for _ in range(2)], [f"y{i}" for i in range(25)], [f"y{i}" for i in range(25)]
+    found, followed = Counter(), Counter()
+    for ws in docs:
+        for i in range(len(ws)):
+            for j in range(i + 1, len(ws) + 1):
+                found[tuple(ws[i:j])] += 1
+                followed[tuple(ws[i:j])] += j < len(ws)
+    total, want = sum(map(len, docs)), []
+    for ws in docs:
+        log, contexts = 0.0, 0
+        for i, w in enumerate(ws):
+            p, n = (found[(w,)] - 1 + 1 / total) / total, 1
+            log_p = math.log2(p)
+            while n <= i and (f := followed[tuple(ws[i - n : i])] - 1) > 0:
+                c = found[tuple(ws[i - n : i + 1])] - 1
+                p = (c + p) / (f + 1)
+                log_p = math.log2(p) if c else log_p - math.log2(f + 1)
+                n += 1
+            log, contexts = log + log_p, contexts + n - 1
+        want.append((len(ws), pytest.approx(log, abs=1e-5), pytest.approx(contexts / len(ws), abs=1e-5)))
+    rows = spark.createDataFrame([(i, " ".join(ws)) for i, ws in enumerate(docs)], "doc_id bigint, text string").repartition(3)
+    for shard_bytes in (1 << 20, 900):
+        hashes, ask = [], ngram_corpus.ask
+        with monkeypatch.context() as m:
+            m.setattr(ngram_corpus, "ask", lambda *args, ask=ask, hashes=hashes: hashes.append(ask(*args).selectExpr("sum(octet_length(hashes)) / 8").first()[0]) or ask(*args))
+            got = ngram_corpus.score_corpus(rows, shard_bytes=shard_bytes).orderBy("doc_id").collect()
+        assert [(r["n_words"], r["log2_probability"], r["mean_context"]) for r in got] == want
+        if shard_bytes > 900:
+            assert max(hashes) < 600
