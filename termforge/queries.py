@@ -312,7 +312,7 @@ def gibberish_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, {duck.spacing('text')} AS fixed FROM documents WHERE {duck.meets('text', P.SPACED)}")
 def ocr_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike(java(P.SPACED))).select("doc_id", T.fix_ocr_spacing(F.col("text")).alias("fixed"))
+    return table(spark, sf_dir, "documents").where(F.col("text").rlike(java(P.SPACED_ASCII))).select("doc_id", T.fix_ocr_spacing(F.col("text")).alias("fixed"))
 
 
 _MEASURES = {
