@@ -17,6 +17,7 @@ questions, and no greatest length:
 2. In a round, each shard sends the hashes it asks about, each once with its sum, to buckets by range of hash; a bucket sums them
    and answers in the order of the question, so no hash is sent back. After DENSE rounds, an end of a run asks about a few branches at once, further
    and further to the left until its words are unique, and then, between two that differ, about up to SPLIT more.
+   Counts are kept as a tree of contexts by shard (`Tree`), and an interval that several ends share is one question.
 3. When nothing is open, each shard scores its own documents from its answers:
 
     p_n = (C(i, n + 1) - 1 + ALPHA * p_{n-1}) / (F(i - 1, n) - 1 + ALPHA)   for n = 1, 2, ... while F(i - 1, n) > 1
@@ -59,12 +60,14 @@ SHARD_BYTES = 4 << 20
 DENSE = 4
 SPLIT = 7
 ENTRIES = 750_000
-STATE = "shard string, answers array<string>, runs string, questions string, open bigint, n_words bigint"
-STATE_ARROW = pa.schema([("shard", pa.string()), ("answers", pa.list_(pa.string())), ("runs", pa.string()), ("questions", pa.string()), ("open", pa.int64()), ("n_words", pa.int64())])
+STATE = "shard string, answers array<string>, runs string, questions string, open bigint, n_words bigint, nodes bigint"
+STATE_ARROW = pa.schema([("shard", pa.string()), ("answers", pa.list_(pa.string())), ("runs", pa.string()), ("questions", pa.string()), ("open", pa.int64()), ("n_words", pa.int64()), ("nodes", pa.int64())])
 LISTS = "shard string, bucket int, hashes binary, found binary, followed binary"
 COUNTS = "shard string, bucket int, found binary, followed binary"
 SCORES = "doc_id bigint, n_words int, log2_probability double, mean_context double"
-QUESTION = ("run", "a", "found_a", "followed_a", "b", "found_b", "followed_b")
+# An interval of branches of a run, the counts and nodes at its ends, and the occurrences that it stands for.
+LOW, HIGH, STANDS = ("a", "found_a", "followed_a", "node_a"), ("b", "found_b", "followed_b", "node_b"), ("run", "n", "n_followed")
+QUESTION = (*STANDS, *LOW, *HIGH)
 
 
 def packed(values: np.ndarray) -> np.ndarray:
@@ -212,37 +215,88 @@ def probes(q: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return which, at
 
 
-def narrowed(q: dict[str, np.ndarray], which: np.ndarray, at: np.ndarray, found: np.ndarray, followed: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+def narrowed(q: dict[str, np.ndarray], which: np.ndarray, at: np.ndarray, found: np.ndarray, followed: np.ndarray, node: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
     """The questions that these answers leave open; weight is that of the text behind each."""
-    first, last = np.ones(len(which), bool), np.ones(len(which), bool)
-    first[1:] = last[:-1] = which[1:] != which[:-1]
-    here = (at, found, followed)
-    low = tuple(np.where(first, q[k][which], np.append(0, x[:-1])) for k, x in zip(QUESTION[1:4], here))
-    high = tuple(q[k][which] for k in QUESTION[4:])
+    first, last = edges(which)
+    here = (at, found, followed, node)
+    low = tuple(np.where(first, q[k][which], np.append(0, x[:-1])) for k, x in zip(LOW, here))
+    high = tuple(q[k][which] for k in HIGH)
     zero = np.zeros(len(which), np.int64)
 
     def differ(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
         return (y[0] - x[0] > 1) & (x[1] > weight) & ((x[1] != y[1]) | (x[2] != y[2]))
 
     on = last & (high[0] == 0) & (found > weight)
-    parts = [(differ(low, here), low, here), (last & (high[0] > 0) & differ(here, high), here, high), (on, here, (zero, zero, zero))]
-    rows = [[x[some] for x in (q["run"][which], *one, *two)] for some, one, two in parts]
-    return {k: np.concatenate(x) for k, x in zip(QUESTION, zip(*rows))}
+    upper = (*here[:3], np.where(found > weight, node, -1))
+    parts = [(differ(low, here), low, upper), (last & (high[0] > 0) & differ(here, high), here, high), (on, here, (zero, zero, zero, zero - 1))]
+    rows = [[x[some] for x in (*(q[k][which] for k in STANDS), *one, *two)] for some, one, two in parts]
+    return merged({k: np.concatenate(x) for k, x in zip(QUESTION, zip(*rows))})
+
+
+def edges(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a question's probes begin and end."""
+    first, last = np.ones(len(which), bool), np.ones(len(which), bool)
+    first[1:] = last[:-1] = which[1:] != which[:-1]
+    return first, last
 
 
-def asked(s: Shard, folder: str, before: str, r: dict, turn: int) -> tuple[np.ndarray, np.ndarray, tuple]:
-    """(place, length) of what a shard asks in a round after the first, and the questions behind it."""
+def merged(q: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Intervals up to one node are one question, which stands for all of them: their words are the same."""
+    shared = q["node_b"] >= 0
+    own = np.flatnonzero(~shared)
+    _, rep, group = np.unique(q["node_b"][shared], return_index=True, return_inverse=True)
+    out = {}
+    for k, x in q.items():
+        one = np.bincount(group.reshape(-1), x[shared], len(rep)).astype(np.int64) if k in STANDS[1:] else x[shared][rep]
+        out[k] = np.append(one, x[own])
+    return out
+
+
+def grown(q: dict[str, np.ndarray], of: np.ndarray, at: np.ndarray, length: np.ndarray, key: np.ndarray, found: np.ndarray, followed: np.ndarray, weight: np.ndarray, base: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The last node up to each probe, and what a round adds to a shard's tree of contexts, whose nodes are counted from base on.
+
+    key says which n-gram a probe is. It becomes a node if it has another count than the probe before; its parent is the node
+    before, until a later round finds one between.
+    """
+    first, last = edges(of)
+    prior = [np.where(first, q[k][of], np.append(0, x[:-1])) for k, x in zip(LOW[1:3], (found, followed))]
+    twice = found > weight
+    new = np.flatnonzero(twice & ((found != prior[0]) | (followed != prior[1])))
+    _, some, inverse = np.unique(key[new], return_index=True, return_inverse=True)
+    node, latest = np.zeros(len(of), np.int64), np.zeros(len(of), np.int64)
+    node[new], latest[new] = base + inverse.reshape(-1), new + 1
+    latest = np.maximum.accumulate(latest) - 1
+    begin = np.flatnonzero(first)[np.cumsum(first) - 1]
+    inside = latest >= begin
+    node = np.where(inside, node[latest], q["node_a"][of])
+    before = np.where(first, q["node_a"][of], np.append(0, node[:-1]))
+    ends = np.flatnonzero(last & inside & (q["node_b"][of] >= 0))
+    some = new[some]
+    # Where an interval has no node at its end, its last n-gram that occurs in another place is the longest of its run.
+    deep = twice & (q["node_b"][of] < 0)
+    deep[:-1] &= last[:-1] | ~twice[1:]
+    return node, {
+        "length": length[some], "found": found[some], "followed": followed[some], "parent": before[some], "child": q["node_b"][of[ends]], "between": node[ends],
+        "run": q["run"][of[deep]], "at": at[deep], "node": node[deep],
+    }
+
+
+def asked(s: Shard, folder: str, before: str, r: dict, turn: int) -> tuple[np.ndarray, np.ndarray, tuple, tuple]:
+    """(place, length, occurrences and those before another word) of what a shard asks in a round, and the questions behind it."""
+    if turn == 0:
+        return np.arange(len(s.at)), np.ones(len(s.at), np.int64), (s.weight, s.followed), ()
     if turn < DENSE:
         place = askers(s, s.level(folder, r["answers"], turn)[0], turn + 1)
-        return place, np.full(len(place), turn + 1), ()
+        return place, np.full(len(place), turn + 1), (s.weight[place], s.followed[place]), ()
     runs, q = Runs(load(folder, r["runs"])), load(before, r["questions"])
     which, at = probes(q)
     run = q["run"][which]
     real = at <= runs.branches[run]
-    return runs.end[run[real]], runs.length(run[real], at[real]), (runs, q, which, at, real)
+    stands = tuple(q[k][which[real]] for k in STANDS[1:])
+    return runs.end[run[real]], runs.length(run[real], at[real]), stands, (runs, q, which, at, real)
 
 
-def sent(s: Shard, place: np.ndarray, m: np.ndarray, turn: int, buckets: int) -> tuple[np.ndarray, ...]:
+def sent(s: Shard, place: np.ndarray, m: np.ndarray, stands: tuple, turn: int, buckets: int) -> tuple[np.ndarray, ...]:
     """(bucket, hash, occurrences, those before another word) in the order of buckets, each hash once, and which is each question's."""
     if turn == 0:
         hashes, which = s.word.view(np.uint64), s.code
@@ -251,7 +305,7 @@ def sent(s: Shard, place: np.ndarray, m: np.ndarray, turn: int, buckets: int) ->
         which = which.reshape(-1)
     # They are in order, and so are ranges of them.
     bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    found, followed = (np.bincount(which, x[place], len(hashes)).astype(np.int64) for x in (s.weight, s.followed))
+    found, followed = (np.bincount(which, x, len(hashes)).astype(np.int64) for x in stands)
     return bucket, hashes, found, followed, which
 
 
@@ -290,7 +344,7 @@ def shards(rows: DataFrame, folder: str, shard_bytes: int) -> DataFrame:
                 word, code = np.unique(w.hashes, return_inverse=True)
                 own = slice(row, row + len(part))
                 name = save(folder, doc_id=doc_id[own], has_id=has_id[own], has_text=has_text[own], text=text, weight=weight, n_words=n_words, word=word.view(np.int64), code=code.reshape(-1).astype(np.int64))
-                yield pa.RecordBatch.from_pylist([{"shard": name, "answers": [], "runs": "", "questions": "", "open": len(word), "n_words": int((n_words * weight).sum())}], schema=STATE_ARROW)
+                yield pa.RecordBatch.from_pylist([{"shard": name, "answers": [], "runs": "", "questions": "", "open": len(word), "n_words": int((n_words * weight).sum()), "nodes": 0}], schema=STATE_ARROW)
 
     return rows.mapInArrow(tidy(run), STATE)
 
@@ -302,8 +356,7 @@ def ask(state: DataFrame, before: str, folder: str, turn: int, buckets: int) ->
         for b in batches:
             for r in b.to_pylist():
                 s = Shard(folder, r["shard"])
-                place, m = asked(s, folder, before, r, turn)[:2] if turn else (np.arange(len(s.at)), None)
-                bucket, hashes, found, followed, _ = sent(s, place, m, turn, buckets)
+                bucket, hashes, found, followed, _ = sent(s, *asked(s, folder, before, r, turn)[:3], turn, buckets)
                 keys, at = np.unique(bucket, return_index=True)
                 cuts = [*at.tolist(), len(bucket)]
                 parts = [slice(i, j) for i, j in zip(cuts, cuts[1:])]
@@ -331,8 +384,9 @@ def taker(folder: str, before: str, after: str, turn: int, buckets: int):
     def run(state: pa.Table, answers: pa.Table) -> pa.Table:
         r = state.to_pylist()[0]
         s = Shard(folder, r["shard"])
-        place, m, more = asked(s, folder, before, r, turn) if turn else (np.arange(len(s.at)), None, ())
-        bucket, _, _, _, which = sent(s, place, m, turn, buckets)
+        place, m, stands, more = asked(s, folder, before, r, turn)
+        bucket, _, _, _, which = sent(s, place, m, stands, turn, buckets)
+        del stands
         answers = answers.sort_by("bucket")
         sizes = np.unique(bucket, return_counts=True)[1].tolist()
         found, followed = (np.concatenate([np.zeros(0, np.int64), *(from_bytes(x, n) for x, n in zip(answers.column(k).to_pylist(), sizes, strict=True))]) for k in ("found", "followed"))
@@ -352,8 +406,9 @@ def taker(folder: str, before: str, after: str, turn: int, buckets: int):
                 r["runs"] = save(folder, **runs.kept)
                 one = np.flatnonzero(runs.branches > 0)
                 none = np.zeros(len(one), np.int64)
-                q = dict(zip(QUESTION, (one, none, full[runs.end[one]], full_followed[runs.end[one]], none, none, none)))
-                r["open"] = int(n_probes(q).sum())
+                end = runs.end[one]
+                q = dict(zip(QUESTION, (one, s.weight[end], s.followed[end], none, full[end], full_followed[end], one, none, none, none, none - 1)))
+                r["open"], r["nodes"] = int(n_probes(q).sum()), len(runs.end)
         else:
             runs, q, of, at, real = more
             sums = found[which], followed[which]
@@ -361,14 +416,12 @@ def taker(folder: str, before: str, after: str, turn: int, buckets: int):
             weight, followed = (x[runs.end[q["run"][of]]] for x in (s.weight, s.followed))
             found = weight.copy()
             found[real], followed[real] = sums
-            some = found > weight
-            # Of equal counts in a row the last of a question tells how far they go, the others nothing.
-            same, last = np.zeros(len(of), bool), np.ones(len(of), bool)
-            same[1:] = (of[1:] == of[:-1]) & (found[1:] == found[:-1]) & (followed[1:] == followed[:-1])
-            last[:-1] = (of[1:] != of[:-1]) | (found[1:] <= weight[1:])
-            some &= ~same | last
-            r["answers"] = [*r["answers"], save(folder, run=q["run"][of[some]], at=at[some], found=found[some], followed=followed[some])]
-            q = narrowed(q, of, at, found, followed, weight)
+            length, key = np.zeros((2, len(of)), np.int64)
+            length[real], key[real] = m, which
+            node, more = grown(q, of, at, length, key, found, followed, weight, r["nodes"])
+            r["answers"] = [*r["answers"], save(folder, **more)]
+            r["nodes"] += len(more["length"])
+            q = narrowed(q, of, at, found, followed, node, weight)
             # Beyond its last branch a run holds nothing that others ask for.
             more = q["a"] < runs.branches[q["run"]]
             q = {k: x[more] for k, x in q.items()}
@@ -380,50 +433,58 @@ def taker(folder: str, before: str, after: str, turn: int, buckets: int):
     return run
 
 
-class Tables:
-    """Counts by length of the ends of runs, from DENSE words on, down to 0 where a text begins; then those of more places, which
-    are alone."""
+class Tree:
+    """Contexts of a shard, from DENSE words on: a node is an n-gram from which on counts are others than those of its parent, which
+    ends it. Each end of a run has the node of its longest context; those of more places are alone."""
 
     def __init__(self, s: Shard, folder: str, runs: Runs, names: list[str], found: np.ndarray, followed: np.ndarray, more: np.ndarray, alpha: float) -> None:
-        n = len(runs.end)
-        parts = [{"run": np.arange(n), "at": np.zeros(n, np.int64), "found": found[runs.end], "followed": followed[runs.end]}, *(load(folder, name) for name in names)]
-        longest = np.zeros(n, np.int64)
-        for x in parts[1:]:
-            np.maximum.at(longest, x["run"], x["at"])
-        run, at, found, followed = (np.concatenate([x[k] for x in parts]) for k in ("run", "at", "found", "followed"))
-        # The least length that occurs in no other place, and one that no text has.
-        place, every = np.append(runs.end, more), np.arange(n + len(more))
-        once, out = np.append(runs.length(every[:n], longest + 1), np.full(len(more), DENSE)), s.at[place] + 2
-        own, none = every[once < out], np.zeros(len(every), np.int64)
-        run, m, found, followed = (np.concatenate(x) for x in ((run, own, every), (runs.length(run, at), once[own], out), (found, s.weight[place[own]], none), (followed, s.followed[place[own]], none)))
-        n = len(every)
-        self.span = int(m.max(initial=0)) + len(s.at) + 2
-        key = run * self.span + m
-        order = np.argsort(key, kind="stable")
-        self.key, self.m, run = key[order], m[order], run[order]
-        self.counts = np.stack([followed[order], found[order]])
-        # The sums below take as much again.
-        del parts, at, found, followed, m, key, order, place, every, once, out, own, none
-        release()
-        self.first = np.searchsorted(run, np.arange(n))
+        n, parts = len(runs.end), [load(folder, name) for name in names]
+        ends = np.arange(n)
+        m, parent, found, followed = (np.concatenate([x, *(p[k] for p in parts)]) for k, x in (("length", np.full(n, DENSE)), ("parent", ends), ("found", found[runs.end]), ("followed", followed[runs.end])))
+        longest, deep = np.zeros(n, np.int64), ends
+        for p in parts:
+            parent[p["child"]], longest[p["run"]], deep[p["run"]] = p["between"], p["at"], p["node"]
+        del parts
+        # The least length that occurs in no other place, and one that no text has. What equal texts hold is a node as well.
+        place = np.append(runs.end, more)
+        once, out, weight = np.append(runs.length(np.arange(n), longest + 1), np.full(len(more), DENSE)), s.at[place] + 2, s.weight[place]
+        own = np.flatnonzero((weight > 1) & (once < out))
+        ids = len(m) + np.arange(len(own))
+        self.deep = np.append(deep, np.zeros(len(more), np.int64))
+        above = np.where(own < n, self.deep[own], ids)
+        self.deep[own] = ids
+        self.m, self.parent = np.append(m, once[own]), np.append(parent, above)
+        self.counts = np.stack([np.append(followed, s.followed[place[own]]), np.append(found, weight[own])])
         # The first length at which a count is 1 or less, by kind of count.
-        self.stop = []
-        for c in self.counts:
-            low = np.flatnonzero(c <= 1)
-            self.stop.append(self.m[low[np.searchsorted(run[low], np.arange(n))]])
-        self.stop = np.stack(self.stop)
-        step = np.append(np.diff(self.m), 0)
-        step[np.append(run[1:] != run[:-1], True)[: len(step)]] = 0
+        end = np.where(weight > 1, out, np.minimum(once, out))
+        low = self.counts[0] <= 1
+        jump = np.where(low & low[self.parent], self.parent, np.arange(len(self.m)))
+        while (further := jump[jump]).tobytes() != jump.tobytes():
+            jump = further
+        self.stop = np.stack([np.where(low[self.deep], np.minimum(self.m[jump[self.deep]], end), end), end])
         self.log = np.log2(alpha / (np.maximum(self.counts - 1, 0) + alpha))
-        self.sums = np.concatenate([np.zeros((2, 1)), np.cumsum(self.log * step, axis=1)], axis=1)
+        self.sums = self.log[:, self.parent] * (self.m - self.m[self.parent])
+        self.jumps = [self.parent.astype(np.int32)]
+        while True:
+            last = self.jumps[-1]
+            self.sums = self.sums + self.sums[:, last]
+            further = last[last]
+            if (further == last).all():
+                break
+            self.jumps.append(further)
 
     def seek(self, run: np.ndarray, m: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.key, run * self.span + m, "right") - 1
+        """The longest node of no more than m words on the way to a run's longest context; its first if there is none."""
+        at = self.deep[run]
+        for jump in reversed(self.jumps):
+            to = jump[at]
+            at = np.where(self.m[to] > m, to, at)
+        return np.where(self.m[at] > m, self.parent[at], at)
 
     def factors(self, kind: np.ndarray, run: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Logarithm of the product of all factors from DENSE words up to m."""
-        at = np.maximum(self.seek(run, m), self.first[run])
-        return self.sums[kind, at] - self.sums[kind, self.first[run]] + (m - self.m[at] + 1) * self.log[kind, at]
+        at = self.seek(run, m)
+        return self.sums[kind, at] + (m - self.m[at] + 1) * self.log[kind, at]
 
 
 def reach(alpha: float) -> int:
@@ -458,7 +519,7 @@ def probabilities(s: Shard, folder: str, r: dict, total: int, alpha: float) -> t
         return log, context
     runs = Runs(load(folder, r["runs"]))
     more = live[~twice[live] & (s.weight[live] > 1)]
-    t = Tables(s, folder, runs, names[DENSE:], found, followed, more, alpha)
+    t = Tree(s, folder, runs, names[DENSE:], found, followed, more, alpha)
     # The context's run, whether all its occurrences go on alike, and its words to the run's end; then the same of the word.
     run_f = np.searchsorted(runs.end, live - 1)
     ahead_f = runs.end[run_f] - (live - 1)
@@ -473,17 +534,21 @@ def probabilities(s: Shard, folder: str, r: dict, total: int, alpha: float) -> t
     x, top, run_a, ahead_a, kind_a, run_b, ahead_b = live[on], seen[on], run_f[on], ahead_f[on], kind[on], run_c[on], ahead_c[on]
     n = np.maximum(DENSE, top - reach(alpha) + 1)
     p[x[n > DENSE]] = 1.0
-    at_f, at_c = t.seek(run_a, n + ahead_a), t.seek(run_b, n + 1 + ahead_b)
-    m = np.append(t.m, 0)
-    while len(x):
+    # From the longest context down: what a length adds, and how much of the shorter ones is left.
+    at_f, at_c = t.seek(run_a, top + ahead_a), t.seek(run_b, top + 1 + ahead_b)
+    left, kept = np.ones(len(x)), np.zeros(len(x))
+    to, go = x, np.arange(len(x))
+    while len(go):
         f, c = t.counts[kind_a, at_f] - 1, t.counts[1, at_c] - 1
-        until_f, until_c = m[at_f + 1] - ahead_a, m[at_c + 1] - 1 - ahead_b
-        next_n = np.minimum(np.minimum(until_f, until_c), top + 1)
-        limit, ratio = c / f, alpha / (f + alpha)
-        p[x] = limit + (p[x] - limit) * ratio ** (next_n - n)
-        at_f, at_c, n = at_f + (until_f == next_n), at_c + (until_c == next_n), next_n
-        go = n <= top
-        x, top, ahead_a, kind_a, ahead_b, at_f, at_c, n = (v[go] for v in (x, top, ahead_a, kind_a, ahead_b, at_f, at_c, n))
+        from_f, from_c = t.m[at_f] - ahead_a, t.m[at_c] - 1 - ahead_b
+        least = np.maximum(np.maximum(from_f, from_c), n)
+        ratio = (alpha / (f + alpha)) ** (top - least + 1)
+        kept[go] += left[go] * (c / f) * (1 - ratio)
+        left[go] *= ratio
+        at_f, at_c, top = np.where(from_f >= least, t.parent[at_f], at_f), np.where(from_c >= least, t.parent[at_c], at_c), least - 1
+        on_ = top >= n
+        go, top, n, ahead_a, kind_a, ahead_b, at_f, at_c = (v[on_] for v in (go, top, n, ahead_a, kind_a, ahead_b, at_f, at_c))
+    p[to] = kept + left * p[to]
     log[live[on]] = np.log2(p[live[on]])
     seen = np.maximum(seen, DENSE - 1)
     rest = np.flatnonzero(longest > seen)

@@ -116,3 +116,17 @@ def test_copies_are_asked_for_once(spark, monkeypatch):
         assert [(r["n_words"], r["log2_probability"], r["mean_context"]) for r in got] == want
         if shard_bytes > 900:
             assert max(hashes) < 600
+
+
+def test_questions_stay_within_the_words(spark, monkeypatch):
+    """What edited copies share is asked for and kept once in a shard: eighty copies have no more questions in a round than three for each word."""
+    rng, docs, rounds, ask = random.Random(3), [], [], ngram_corpus.ask
+    passage = [f"z{rng.randrange(3000)}" for _ in range(150)]
+    for i in range(80):
+        ws = list(passage)
+        for k in rng.sample(range(150), 3):
+            ws[k] = f"edit{rng.random()}"
+        docs.append((i, " ".join(ws)))
+    monkeypatch.setattr(ngram_corpus, "ask", lambda state, before, folder, turn, buckets: rounds.append(state.selectExpr("sum(open)").first()[0]) or ask(state, before, folder, turn, buckets))
+    assert ngram_corpus.score_corpus(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)).count() == 80
+    assert max(rounds[ngram_corpus.DENSE :]) < 3 * 80 * 150, rounds
