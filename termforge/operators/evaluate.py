@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import _hashlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.classify import classify
+from ..sources.shared import stored
 
 # Least precision, recall and definition overlap, by kind of publication and source.
 THRESHOLDS = [("AR", "glossary", 0.95, 0.85, 0.85), ("PAM", "glossary", 0.90, 0.80, 0.80), *((k, "glossary", 0.85, 0.75, 0.75) for k in ("ADP", "ATP", "FM", "TC", "TM")), ("*", "inline", 0.75, 0.50, 0.65)]
 THRESHOLD_SCHEMA = "doc_type string, source_type string, min_precision double, min_recall double, min_jaccard double"
 TIER1_RECALL = 0.95
+# Of the library's SHA256_CTX, and of what one task reads for a hash.
+SHA256_STATE, PIECE_BYTES = 112, 64 << 20
 
 
 def prefix_matches(rows: DataFrame, text_col: str, prefixes: DataFrame, prefix_col: str) -> DataFrame:
@@ -41,23 +48,49 @@ def candidate_entries(candidates: DataFrame) -> DataFrame:
     return one.select("pdf", "e.source_type", "e.term", "e.definition")
 
 
-def corpus_hash(files: DataFrame, name_col: str, content_col: str) -> DataFrame:
+def hash_of(state: bytes) -> str:
+    if not state:
+        return hashlib.sha256().hexdigest()
+    ctx, out = ctypes.create_string_buffer(state, SHA256_STATE), ctypes.create_string_buffer(32)
+    ctypes.CDLL(_hashlib.__file__).SHA256_Final(out, ctx)
+    return out.raw.hex()
+
+
+def corpus_hash(files: DataFrame, name_col: str, content_col: str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(corpus_hash): one SHA-256 over all names and contents in the order of names, as 'sha256:...'.
 
-    A hash of a sequence is taken in sequence: names are sorted by all tasks, then one reads them range by range and keeps
-    nothing but the hash.
+    A hash of a sequence is taken in sequence: all tasks sort the names into files of about piece_bytes, then one task after
+    another reads one file and hands the state of the hash on. Only rows of one name always share a file.
     """
+    spark = files.sparkSession
+    rows = files.select(F.col(name_col).alias("name"), F.col(content_col).cast("binary").alias("content")).where("name IS NOT NULL AND content IS NOT NULL")
+    size = rows.agg(F.sum(F.octet_length("name") + F.octet_length("content"))).first()[0] or 0
+    pieces = stored(rows.repartitionByRange(1 + size // piece_bytes, "name").sortWithinPartitions("name", "content"), "pieces")
+
+    def hashed_on(state: bytes, where: fs.FileSystem, path: str) -> bytes:
+        """The state of a SHA-256, b"" at first, after the names and contents of a file.
+
+        hashlib does not give its state away, so the functions of the library that it is linked to are called.
+        """
+        lib, ctx = ctypes.CDLL(_hashlib.__file__), ctypes.create_string_buffer(state, SHA256_STATE)
+        if not state:
+            lib.SHA256_Init(ctx)
+        with where.open_input_file(path) as file:
+            for b in pq.ParquetFile(file).iter_batches(1000):
+                for row in zip(b.column("name"), b.column("content")):
+                    for data in (row[0].as_py().encode(), row[1].as_py()):
+                        lib.SHA256_Update(ctx, data, ctypes.c_size_t(len(data)))
+        return ctx.raw
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = hashlib.sha256()
         for b in batches:
-            for name, content in zip(b.column(0), b.column(1)):
-                h.update(name.as_py().encode())
-                h.update(content.as_buffer() or b"")
-        yield pa.RecordBatch.from_pydict({"corpus_hash": [f"sha256:{h.hexdigest()}"]})
+            for r in b.to_pylist():
+                yield pa.RecordBatch.from_pydict({"state": pa.array([hashed_on(r["state"], *fs.FileSystem.from_uri(r["path"]))], pa.binary())})
 
-    rows = files.select(F.col(name_col).alias("name"), F.col(content_col).cast("binary").alias("content")).where("name IS NOT NULL AND content IS NOT NULL")
-    return rows.sort("name").coalesce(1).mapInArrow(run, "corpus_hash string")
+    state = b""
+    for path in sorted(pieces.inputFiles(), key=lambda p: p.rpartition("/")[2]):
+        state = bytes(spark.createDataFrame([(path, bytearray(state))], "path string, state binary").coalesce(1).mapInArrow(run, "state binary").first()[0])
+    return spark.createDataFrame([(f"sha256:{hash_of(state)}",)], "corpus_hash string")
 
 
 def verdict_counts(rows: DataFrame) -> DataFrame:
